@@ -1,0 +1,5 @@
+"""No streaming operators: the engine's inputs are landed batches.
+
+Queue events and status changes are kept as append-only tables and folded to their current
+state by :mod:`techfolio.operators.portfolio` and :mod:`techfolio.operators.enrichment`.
+"""
