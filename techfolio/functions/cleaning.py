@@ -103,7 +103,7 @@ def award_date(
 
 
 def split_keywords(text: Column, sep: str = ";") -> Column:
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "\\Q" + sep + "\\E"), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "\\Q" + sep + "\\E"), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 

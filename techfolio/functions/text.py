@@ -119,14 +119,12 @@ def technical_phrases(text: Column) -> Column:
     lowered = F.lower(F.coalesce(text, F.lit("")))
 
     def grams(tokens: Column) -> Column:
-        per_n = [
-            F.when(
-                F.size(tokens) >= n,
-                F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i, n=n: F.slice(tokens, i, n)),
-            ).otherwise(F.array().cast("array<array<string>>"))
-            for n in (2, 3, 4)
-        ]
-        return F.concat(*per_n)
+        def of_length(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+            none = F.array().cast("array<array<string>>")
+            return F.when(F.size(tokens) >= n, F.transform(starts, lambda i: F.slice(tokens, i, n))).otherwise(none)
+
+        return F.concat(*[of_length(n) for n in (2, 3, 4)])
 
     def drop_lead(words: Column) -> Column:
         # Up to four leading stop words; each step leaves the list alone once it is short or clean.

@@ -28,34 +28,28 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     null values are ignored, keys without values give no row.
     """
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    span = counted.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-
-    def on(left: DataFrame, right: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-        names = [*keys, *extra]
-        return left.join(right, names) if names else left.withColumn("__k", F.lit(0)).join(right.withColumn("__k", F.lit(0)), "__k").drop("__k")
-
-    cell = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (buckets - 1))).otherwise(F.lit(0))
-    celled = on(counted, span).withColumn("cell", cell)
-    by_cell = celled.groupBy(*keys, "cell").agg(F.sum("n").alias("cell_n"), F.max("total").alias("total"))
-    running = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_cell = by_cell.withColumn("upto", F.sum("cell_n").over(running))
-    wanted = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), (F.floor((F.col("total") - 1) * p) + step).alias("rank"), F.lit(step).alias("step"))
-            for name, p in probs.items()
-            for step in (0, 1)
-        ]
+    # One struct as group key: null key values then meet each other in the joins below.
+    group = F.struct(*keys) if keys else F.lit(0)
+    counted = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(group.alias("g"), F.col(value).cast("double").alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    hits = (
-        by_cell.withColumn("w", F.explode(wanted))
-        .where((F.col("w.rank") >= F.col("upto") - F.col("cell_n")) & (F.col("w.rank") < F.col("upto")))
-        .select(*keys, "cell", (F.col("upto") - F.col("cell_n")).alias("before"))
-        .distinct()
+    span = counted.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    width = F.col("hi") - F.col("lo")
+    cell = F.when(width > 0, F.floor((F.col("v") - F.col("lo")) / width * (buckets - 1))).otherwise(F.lit(0))
+    celled = counted.join(span, "g").withColumn("cell", cell)
+    running = Window.partitionBy("g").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_cell = (
+        celled.groupBy("g", "cell")
+        .agg(F.sum("n").alias("cell_n"), F.max("total").alias("total"))
+        .withColumn("upto", F.sum("cell_n").over(running))
     )
-    inside = on(celled, hits, ["cell"])
-    ordered = Window.partitionBy(*keys, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = inside.withColumn("upto", F.col("before") + F.sum("n").over(ordered))
+    ranks = F.array(*[F.floor((F.col("total") - 1) * F.lit(float(p))) + step for p in probs.values() for step in (0, 1)])
+    before = F.col("upto") - F.col("cell_n")
+    hits = by_cell.where(F.exists(ranks, lambda r: (r >= before) & (r < F.col("upto")))).select("g", "cell", before.alias("before"))
+    ordered = Window.partitionBy("g", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = celled.join(hits, ["g", "cell"]).withColumn("upto", F.col("before") + F.sum("n").over(ordered))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("upto") - F.col("n")) & (rank < F.col("upto")), F.col("v")))
@@ -64,10 +58,11 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     for name, p in probs.items():
         position = (F.col("total") - 1) * F.lit(float(p))
         low = F.floor(position)
-        picks += [at(low).alias(f"{name}__a"), at(F.least(low + 1, F.col("total") - 1)).alias(f"{name}__b"), F.max(position - low).alias(f"{name}__f")]
-    merged = placed.groupBy(*keys).agg(*picks)
-    return merged.select(
-        *keys,
+        high = F.least(low + 1, F.col("total") - 1)
+        picks += [at(low).alias(f"{name}__a"), at(high).alias(f"{name}__b"), F.max(position - low).alias(f"{name}__f")]
+    found = placed.groupBy("g").agg(*picks)
+    return found.select(
+        *[F.col(f"g.{k}").alias(k) for k in keys],
         *[
             (F.col(f"{n}__a") + (F.col(f"{n}__b") - F.col(f"{n}__a")) * F.col(f"{n}__f")).alias(n)
             for n in probs

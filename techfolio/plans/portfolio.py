@@ -317,7 +317,9 @@ def w12(t):
 
 
 @query("exact_percentiles_of_amount", ctes("awards") + """
-SELECT agency, quantile_cont(award_amount, 0.25) AS q25, quantile_cont(award_amount, 0.5) AS q50,
-       quantile_cont(award_amount, 0.99) AS q99 FROM awards GROUP BY agency""")
+SELECT agency, round(quantile_cont(award_amount, 0.25), 4) AS q25, round(quantile_cont(award_amount, 0.5), 4) AS q50,
+       round(quantile_cont(award_amount, 0.99), 4) AS q99 FROM awards GROUP BY agency""")
 def pct(t):
-    return exact_percentiles(t.awards, ["agency"], "award_amount", {"q25": 0.25, "q50": 0.5, "q99": 0.99})
+    names = {"q25": 0.25, "q50": 0.5, "q99": 0.99}
+    found = exact_percentiles(t.awards, ["agency"], "award_amount", names)
+    return found.select("agency", *[F.round(n, 4).alias(n) for n in names])
