@@ -1,3 +1,3 @@
 """Imports every query module so that the registry is full."""
 
-from . import enrichment, evaluation, ingest, portfolio, text  # noqa: F401
+from . import enrichment, evaluation, ingest, model, portfolio, text  # noqa: F401

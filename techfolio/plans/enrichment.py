@@ -253,27 +253,28 @@ def p34(t):
 
 
 # --- offices and entities --------------------------------------------------------------------
-@query("j15_office_by_agency", ctes("awards") + """
-SELECT a.award_id, a.agency, s.s_name AS office_name, 'O' || CAST(s.s_suppkey AS VARCHAR) AS office_id FROM awards a
-LEFT JOIN supplier s ON s.s_suppkey < 8 AND ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY'][s.s_suppkey % 4 + 1] = a.agency""")
+@query("j15_office_by_agency", """
+SELECT CAST(o_orderkey AS VARCHAR) AS award_id, 'A' || CAST(o_custkey % 300 AS VARCHAR) AS agency, s_name || kind AS office_name, 'O' || CAST(s_suppkey AS VARCHAR) || kind AS office_id
+FROM orders LEFT JOIN (SELECT *, unnest(['x', 'y']) AS kind FROM supplier) ON s_suppkey = o_custkey % 300""")
 def j15(t):
-    return lk.attach_office(t.awards, _offices(t)).select("award_id", "agency", "office_name", "office_id")
+    agency = F.concat(F.lit("A"), (F.col("o_custkey") % 300).cast("string"))
+    a = t.raw("orders").select(F.col("o_orderkey").cast("string").alias("award_id"), agency.alias("agency"))
+    return lk.attach_office(a, _offices(t))
 
 
 def _offices(t):
-    names = F.array(*[F.lit(a) for a in ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY")])
-    k = F.col("s_suppkey")
-    return t.raw("supplier").where(k < 8).select(
-        F.concat(F.lit("O"), k.cast("string")).alias("office_id"), F.element_at(names, (k % 4 + 1).cast("int")).alias("agency_code"),
-        F.col("s_name").alias("office_name"),
-    )
+    """Two offices per agency, one agency per supplier."""
+    kind = F.explode(F.array(F.lit("x"), F.lit("y"))).alias("kind")
+    both = t.raw("supplier").select("s_suppkey", "s_name", kind)
+    k = F.col("s_suppkey").cast("string")
+    return both.select(F.concat(F.lit("O"), k, "kind").alias("office_id"), F.concat(F.lit("A"), k).alias("agency_code"), F.concat("s_name", "kind").alias("office_name"))
 
 
 @query("j15_related_opportunities", """
-SELECT 'O' || CAST(s_suppkey AS VARCHAR) AS office_id, s_name AS office_name, CAST(item_id AS VARCHAR) AS solicitation_id, substr(text, 1, 20) AS title
-FROM supplier LEFT JOIN benchmark ON item_id % 10 = s_suppkey WHERE s_suppkey < 8""")
+SELECT 'O' || CAST(s_suppkey AS VARCHAR) || kind AS office_id, s_name || kind AS office_name, CAST(item_id AS VARCHAR) AS solicitation_id, substr(text, 1, 20) AS title
+FROM (SELECT *, unnest(['x', 'y']) AS kind FROM supplier) LEFT JOIN benchmark ON item_id = s_suppkey AND kind = 'x'""")
 def j15r(t):
-    sols = t.raw("benchmark").select(F.concat(F.lit("O"), (F.col("item_id") % 10).cast("string")).alias("program_office_id"),
+    sols = t.raw("benchmark").select(F.concat(F.lit("O"), F.col("item_id").cast("string"), F.lit("x")).alias("program_office_id"),
                                      F.col("item_id").cast("string").alias("solicitation_id"), F.substring("text", 1, 20).alias("title"))
     return lk.related_opportunities(_offices(t), sols)
 
