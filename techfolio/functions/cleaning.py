@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fx
+from .literals import sql_text
 
 DATE_FORMATS = (
     "yyyy-MM-dd",
@@ -31,8 +32,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def lookup(key: Column, table: Mapping[str, str]) -> Column:
     """Value of a small fixed map for ``key``, null when absent."""
-    pairs = [F.lit(part) for item in table.items() for part in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def blank_to_null(c: Column) -> Column:

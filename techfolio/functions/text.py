@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as fx
 from .cleaning import blank_to_null, let
+from .literals import constant
 
 
 def string_array(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return constant(list(values))
 
 
 def classification_text(abstract: Column, keywords: Column) -> Column:

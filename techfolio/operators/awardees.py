@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fx
 from ..functions.cleaning import let
+from ..functions.literals import constant
 from ..functions.text import string_array
 from .portfolio import money, ratio
 
@@ -61,7 +62,7 @@ def metrics(history: DataFrame, statuses: Sequence[str] = fx.SUCCESS_STATUSES) -
 
 def matched_areas(text: Column, areas: Mapping[str, Sequence[str]] = fx.EXPERTISE_KEYWORDS) -> Column:
     """Names of the areas with at least one keyword in the text."""
-    table = F.array(*[F.struct(F.lit(a).alias("area"), string_array(k).alias("words")) for a, k in areas.items()])
+    table = constant([{"area": a, "words": list(k)} for a, k in areas.items()])
     return let(
         F.lower(text),
         lambda t: F.transform(F.filter(table, lambda e: F.exists(e["words"], lambda w: F.contains(t, w))), lambda e: e["area"]),
@@ -75,7 +76,8 @@ def history_text() -> Column:
 
 def tech_areas(history: DataFrame, text: Column | None = None, areas: Mapping[str, Sequence[str]] = fx.EXPERTISE_KEYWORDS) -> DataFrame:
     """(uei, area, awards, area_rank): areas of an awardee by number of awards, name on ties."""
-    hits = history.select("uei", F.explode(matched_areas(history_text() if text is None else text, areas)).alias("area"))
+    hits = history.select("uei", F.explode_outer(matched_areas(history_text() if text is None else text, areas)).alias("area"))
+    hits = hits.where(F.col("area").isNotNull())
     counted = hits.groupBy("uei", "area").agg(F.count(F.lit(1)).alias("awards"))
     from pyspark.sql import Window
 
@@ -245,7 +247,8 @@ def validate_profiles(profiles: DataFrame, as_of: Column) -> DataFrame:
 
 def finding_report(validated: DataFrame) -> DataFrame:
     return (
-        validated.select(F.inline("findings"))
+        validated.select(F.inline_outer("findings"))
+        .where(F.col("field").isNotNull())
         .groupBy("field", "severity", "message")
         .agg(F.count(F.lit(1)).alias("profiles"))
     )

@@ -183,7 +183,8 @@ def load_report(validated: DataFrame) -> DataFrame:
 
 def failure_reasons(validated: DataFrame) -> DataFrame:
     return (
-        validated.select(F.explode("failed_rules").alias("rule"))
+        validated.select(F.explode_outer("failed_rules").alias("rule"))
+        .where(F.col("rule").isNotNull())
         .groupBy("rule")
         .agg(F.count(F.lit(1)).alias("failures"))
     )

@@ -1,6 +1,7 @@
 """Relevance scorer: keyword density, TF-IDF similarity and phrases per area, combined to 0..1.
 
-Like the rules, the area keywords are a fixed document and travel as literals, so a text is scored in one
+Long results use the outer generators: the plain ones make Spark add a filter on the generator's input, which
+would score every text again. Like the rules, the area keywords are a fixed document and travel as literals, so a text is scored in one
 narrow projection. The TF-IDF weights of the areas are computed from that document when the plan is built.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fx
 from ..functions.cleaning import let
+from ..functions.literals import constant
 from ..functions.text import string_array
 
 # Common English function words; left out of texts and areas before n-grams are built.
@@ -80,17 +82,16 @@ class Areas:
 
 
 def _keyword_table(areas: Areas) -> Column:
-    rows = []
-    for i, (area, words) in enumerate(areas.keywords.items()):
-        entries = [
-            F.struct(
-                F.lit(k).alias("k"), F.lit(" " in k).alias("phrase"), string_array(phrase_variants(k)).alias("variants"),
-                string_array(k.split()).alias("tokens"),
-            )
-            for k in words
+    return constant(
+        [
+            {
+                "cet_id": area,
+                "i": i,
+                "words": [{"k": k, "phrase": " " in k, "variants": phrase_variants(k), "tokens": k.split()} for k in words],
+            }
+            for i, (area, words) in enumerate(areas.keywords.items())
         ]
-        rows.append(F.struct(F.lit(area).alias("cet_id"), F.lit(i).alias("i"), F.array(*entries).alias("words")))
-    return F.array(*rows)
+    )
 
 
 def _total(items: Column, value) -> Column:
@@ -133,27 +134,35 @@ def _term_hits(text: Column, areas: Areas) -> Column:
     text without stop words; each word is fenced by its own spaces so that repeats are counted."""
     idf, weights = areas.weights()
     order = list(areas.keywords)
-    vocabulary = F.array(
-        *[
-            F.struct(
-                F.lit(" " + term.replace(" ", "  ") + " ").alias("fenced"), F.lit(value).alias("idf"),
-                F.array(*[F.lit(weights[a].get(term, 0.0)) for a in order]).alias("w"),
-            )
-            for term, value in idf.items()
-        ]
-    )
+    by_first: dict[str, list[dict]] = {}
+    for term, value in idf.items():
+        entry = {"fenced": " " + term.replace(" ", "  ") + " ", "idf": value, "w": [weights[a].get(term, 0.0) for a in order]}
+        by_first.setdefault(term.split()[0], []).append(entry)
+    # Every word of a term is a term itself, so the words the text shares with the vocabulary tell which terms to look for.
+    words = string_array(sorted(by_first))
+    vocabulary = constant([{"first": w, "terms": by_first[w]} for w in sorted(by_first)])
     tokens = F.filter(
         F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1)), lambda w: ~w.isin(*areas.stop_words)
     )
-    fenced = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
 
-    def weigh(s: Column) -> Column:
-        held = F.filter(vocabulary, lambda v: F.contains(s, v["fenced"]))
+    def weigh(toks: Column) -> Column:
+        fenced = F.concat(F.lit(" "), F.array_join(toks, "  "), F.lit(" "))
         # The look-ahead counts terms that overlap themselves.
-        count = lambda v: F.regexp_count(s, F.concat(F.lit("(?=\\Q"), v["fenced"], F.lit("\\E)")))
-        return F.transform(held, lambda v: F.struct((count(v) * v["idf"]).alias("x"), v["w"].alias("w")))
+        count = lambda s, v: F.regexp_count(s, F.concat(F.lit("(?=\\Q"), v["fenced"], F.lit("\\E)")))
+
+        def held(common: Column) -> Column:
+            likely = F.flatten(F.transform(F.filter(vocabulary, lambda g: F.array_contains(common, g["first"])), lambda g: g["terms"]))
+            return let(
+                fenced,
+                lambda s: F.transform(
+                    F.filter(likely, lambda v: F.contains(s, v["fenced"])),
+                    lambda v: F.struct((count(s, v) * v["idf"]).alias("x"), v["w"].alias("w")),
+                ),
+            )
+
+        return let(F.array_intersect(toks, words), held)
 
-    return let(fenced, weigh)
+    return let(tokens, weigh)
 
 
 def component_array(text: Column, areas: Areas | None = None) -> Column:
@@ -178,9 +187,17 @@ def component_array(text: Column, areas: Areas | None = None) -> Column:
         names = ("cet_id", "keyword", "semantic", "phrase", "matched")
         return F.struct(*[p[n].alias(n) for n in names], F.least(F.lit(1.0), F.greatest(base, floor)).alias("score"))
 
+    # A keyword can only score if the text holds one of its tokens; the rest drop out after one look per token.
+    tokens = string_array(sorted({w for ks in areas.keywords.values() for k in ks for w in k.split()}))
+
+    def active(a: Column, seen: Column) -> Column:
+        live = F.filter(a["words"], lambda k: F.arrays_overlap(k["tokens"], seen))
+        return F.struct(a["cet_id"].alias("cet_id"), a["i"].alias("i"), live.alias("words"))
+
     def parts(t: Column, words: Column, hits: Column) -> Column:
+        live = let(F.filter(tokens, lambda w: F.contains(t, w)), lambda seen: F.transform(table, lambda a: active(a, seen)))
         return F.transform(
-            table,
+            live,
             lambda a: F.struct(
                 a["cet_id"].alias("cet_id"), _keyword_score(t, words, a).alias("keyword"), semantic(hits, a["i"]).alias("semantic"),
                 _phrase_score(t, words, a).alias("phrase"),
@@ -200,7 +217,7 @@ def component_array(text: Column, areas: Areas | None = None) -> Column:
 
 def components(texts: DataFrame, areas: Areas | None = None) -> DataFrame:
     """(key, cet_id, keyword, semantic, phrase, matched, score), one row per text and area."""
-    return texts.select("key", F.inline(component_array(F.col("text"), areas)))
+    return texts.select("key", F.inline_outer(component_array(F.col("text"), areas)))
 
 
 def score(texts: DataFrame, areas: Areas | None = None) -> DataFrame:

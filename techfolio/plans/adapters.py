@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import band
 from ..operators.portfolio import Filters
+from ..session import spread
 
 AS_OF = "1999-06-30"
 AREAS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -160,6 +161,11 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Documents for text work, spread over the cores where they lie in few files."""
+        return spread(self.raw("documents"))
+
     @cached_property
     def awards(self) -> DataFrame:
         first = F.substring("o_orderpriority", 1, 1)
@@ -250,7 +256,7 @@ class Tables:
 
     @cached_property
     def texts(self) -> DataFrame:
-        return self.raw("documents").select(
+        return self.documents.select(
             F.col("doc_id").cast("string").alias("key"), "text", F.col("lang").alias("agency"), F.col("source").alias("branch")
         )
 

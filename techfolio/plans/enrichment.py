@@ -193,7 +193,7 @@ UNION ALL SELECT award_id, project_id, 'similarity', s FROM by_text"""
 @query("j12_project_linkage", "WITH " + _PROJ_SQL)
 def j12(t):
     d, n = F.col("doc_id"), F.col("n_chars")
-    docs = t.raw("documents")
+    docs = t.documents
     awards = docs.select(d.cast("string").alias("award_id"), F.concat("source", F.lit(" Corp")).alias("org_name"), (d % 2 + 1990).alias("year"),
                          (n + 1000.0).alias("amount"), F.col("text").alias("abstract"))
     projects = docs.select(

@@ -22,7 +22,7 @@ _STOPS = ", ".join(q(s) for s in CFG.stop_words)
 
 def examples(t, label: str = "quality"):
     labels = t.raw("labels").select("doc_id", F.when(F.col(label) == 1, "good").otherwise("poor").alias("label"))
-    return t.raw("documents").join(labels, "doc_id").select(F.col("doc_id").cast("string").alias("key"), "text", "label")
+    return t.documents.join(labels, "doc_id").select(F.col("doc_id").cast("string").alias("key"), "text", "label")
 
 
 _FEATURES = rf"""WITH d AS (SELECT {_DOC} AS key, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: NOT list_contains([{_STOPS}], w)) AS w
@@ -97,7 +97,7 @@ def w8(t):
 
 
 def _sources(t):
-    docs = t.raw("documents").select("doc_id", F.col("text").alias("abstract"), F.concat_ws(" ", "source", "lang").alias("keywords"))
+    docs = t.documents.select("doc_id", F.col("text").alias("abstract"), F.concat_ws(" ", "source", "lang").alias("keywords"))
     labels = t.raw("labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("label"))
     bench = t.raw("benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("solicitation"))
     return docs.join(labels, "doc_id").join(bench, "doc_id", "left").withColumn("key", F.col("doc_id").cast("string"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as cl
 from ..functions import fixed_values as fx
 from ..functions import text as tx
+from ..functions.literals import constant
 from ..operators import relevance, rules
 from ..sources.rules import Rules, context_rows, keyword_rows, prior_rows
 from .adapters import ctes
@@ -111,7 +112,7 @@ def solicitation_texts(t):
         F.lit("FUNDING"), nl, F.lit("Phase I awards: $"), s(d % 900 + 1), F.lit(",000 - $"), s(d % 900 + 50), F.lit(",500"), nl,
         second, nl, due, nl, notice, nl, F.lit("Performance start date: October "), s(d % 30 + 1), F.lit(", 2024"),
     )
-    return t.raw("documents").select(s(d).alias("key"), text.alias("full_text"))
+    return t.documents.select(s(d).alias("key"), text.alias("full_text"))
 
 
 def _section_sql(headers) -> str:
@@ -283,16 +284,16 @@ SELECT bucket, cet_id, count(*) AS hits FROM d JOIN {values(keyword_rows(PROSE_R
 def s17(t):
     # Keyword rows per text as literals, so that the rule tables meet the texts without a theta join.
     rows = keyword_rows(PROSE_RULES)
-    table = F.array(*[F.struct(F.lit(a).alias("cet_id"), F.lit(b).alias("bucket"), F.lit(p).alias("phrase")) for a, b, p in rows])
-    hits = docs(t).select(F.inline(cl.let(tx.squeeze(F.col("text")), lambda x: F.filter(table, lambda k: F.contains(x, k["phrase"])))))
+    table = constant([{"cet_id": a, "bucket": b, "phrase": p} for a, b, p in rows])
+    hits = docs(t).select(F.inline_outer(cl.let(tx.squeeze(F.col("text")), lambda x: F.filter(table, lambda k: F.contains(x, k["phrase"]))))).where(F.col("bucket").isNotNull())
     return hits.groupBy("bucket", "cet_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 @query("j14_keyword_containment", _rule_sql(PROSE_RULES) + "SELECT key, cet_id, c AS core, r AS related, n AS negative FROM hits")
 def j14(t):
     rows = keyword_rows(PROSE_RULES)
-    table = F.array(*[F.struct(F.lit(a).alias("cet_id"), F.lit(b).alias("bucket"), F.lit(p).alias("phrase")) for a, b, p in rows])
-    hits = docs(t).select("key", F.inline(cl.let(tx.squeeze(F.col("text")), lambda x: F.filter(table, lambda k: F.contains(x, k["phrase"])))))
+    table = constant([{"cet_id": a, "bucket": b, "phrase": p} for a, b, p in rows])
+    hits = docs(t).select("key", F.inline_outer(cl.let(tx.squeeze(F.col("text")), lambda x: F.filter(table, lambda k: F.contains(x, k["phrase"]))))).where(F.col("bucket").isNotNull())
     return hits.groupBy("key", "cet_id").agg(*[F.count_if(F.col("bucket") == b).alias(b) for b in ("core", "related", "negative")])
 
 
@@ -405,7 +406,7 @@ def m11(t):
     provided = F.when(n % 2 == 0, F.create_map(F.lit("french"), F.lit(0.5)))
     words = F.when(n % 3 == 0, F.array(F.lit("given")))
     df = docs(t).select(
-        "key", F.explode(relevance.parsed_scores(provided, F.col("text"), PROSE_AREAS)).alias("cet_id", "score"),
+        "key", F.explode_outer(relevance.parsed_scores(provided, F.col("text"), PROSE_AREAS)).alias("cet_id", "score"),
         F.size(relevance.parsed_keywords(words, F.col("text"), _PROSE_KEYWORDS)).cast("bigint").alias("keywords"),
     )
     return _rounded(df, "score")

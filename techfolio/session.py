@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT = "spark.checkpoint.dir"
 
@@ -25,6 +25,16 @@ def build_session(app: str = "techfolio", cores: str = "*", shuffle_partitions:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Scan of a table whose rows are costly to process, on at least as many partitions as there are cores.
+
+    A table in few small files gives few scan tasks, however long each row's text takes. Large tables have more
+    splits than cores and pass unchanged, without a shuffle. Meant for plain scans: planning them runs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the cluster's shared checkpoint folder.
 
