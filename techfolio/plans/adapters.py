@@ -91,7 +91,7 @@ _CTES = {
     "cache": """
   SELECT CASE item_id % 2 WHEN 0 THEN 'nih' ELSE 'grants.gov' END AS api_source,
          CAST(item_id AS VARCHAR) AS solicitation_id, text AS description,
-         [substr(text, 1, 6), substr(text, 8, 6)] AS technical_keywords,
+         ['k' || CAST(item_id % 7 AS VARCHAR), 'k' || CAST(item_id % 5 AS VARCHAR)] AS technical_keywords,
          TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * item_id AS retrieved_at
   FROM benchmark""",
     "history": """
@@ -161,6 +161,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def lineitem(self) -> DataFrame:
+        return spread(self.raw("lineitem"))
+
     @cached_property
     def documents(self) -> DataFrame:
         """Documents for text work, spread over the cores where they lie in few files."""
@@ -204,7 +208,7 @@ class Tables:
     def assessments(self) -> DataFrame:
         score = F.col("l_quantity") * 2
         return (
-            self.raw("lineitem")
+            self.lineitem
             .join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
             .select(
                 F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -265,7 +269,7 @@ class Tables:
         return self.raw("benchmark").select(
             F.when(F.col("item_id") % 2 == 0, "nih").otherwise("grants.gov").alias("api_source"),
             F.col("item_id").cast("string").alias("solicitation_id"), F.col("text").alias("description"),
-            F.array(F.substring("text", 1, 6), F.substring("text", 8, 6)).alias("technical_keywords"),
+            F.array(F.concat(F.lit("k"), (F.col("item_id") % 7).cast("string")), F.concat(F.lit("k"), (F.col("item_id") % 5).cast("string"))).alias("technical_keywords"),
             (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=F.col("item_id").cast("int"))).alias("retrieved_at"),
         )
 
@@ -273,7 +277,7 @@ class Tables:
     def history(self) -> DataFrame:
         pair = F.concat("l_returnflag", "l_linestatus")
         return (
-            self.raw("lineitem")
+            self.lineitem
             .join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
             .join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))

@@ -271,11 +271,11 @@ def _offices(t):
 
 
 @query("j15_related_opportunities", """
-SELECT 'O' || CAST(s_suppkey AS VARCHAR) || kind AS office_id, s_name || kind AS office_name, CAST(item_id AS VARCHAR) AS solicitation_id, substr(text, 1, 20) AS title
+SELECT 'O' || CAST(s_suppkey AS VARCHAR) || kind AS office_id, s_name || kind AS office_name, CAST(item_id AS VARCHAR) AS solicitation_id, text AS title
 FROM (SELECT *, unnest(['x', 'y']) AS kind FROM supplier) LEFT JOIN benchmark ON item_id = s_suppkey AND kind = 'x'""")
 def j15r(t):
     sols = t.raw("benchmark").select(F.concat(F.lit("O"), F.col("item_id").cast("string"), F.lit("x")).alias("program_office_id"),
-                                     F.col("item_id").cast("string").alias("solicitation_id"), F.substring("text", 1, 20).alias("title"))
+                                     F.col("item_id").cast("string").alias("solicitation_id"), F.col("text").alias("title"))
     return lk.related_opportunities(_offices(t), sols)
 
 
