@@ -35,13 +35,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the cluster's shared checkpoint folder.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (tests, a laptop) a temporary folder is chosen and set.
+    On a local master without the setting a temporary folder is chosen and set, since driver and executors are one
+    process there. On a cluster the setting is required: a machine-local folder would lose rows.
     """
     root = spark.conf.get(_CHECKPOINT, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set; it has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(_CHECKPOINT, root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Let ``DataFrame.checkpoint`` write below the shared folder."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_dir(spark))
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
