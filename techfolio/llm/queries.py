@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, rules_learn
+from . import common, langid, licenses, quality_zstd, rules_learn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "mixture")
 
 
+@_query
+def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    held_out = common.crc_remainder("doc_id", 5) == 0
+    scored = quality_zstd.score(docs, quality_zstd.learn(docs, labels, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@_query
+def op8_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(common.table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["label"], x["first_word"], x["last_word"], x["edits"])), ",")
+    return found.withColumn("spans", spans).drop("found")
+
+
 @_query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
