@@ -1,8 +1,9 @@
 """License scan: short notices found with a bounded number of edits.
 
-Texts are normalised to lower-cased words joined by one space. A notice with at most k edits keeps one of its k + 1
+Texts are normalised to lower-cased words joined by one space. A notice with at most k edits keeps two of its k + 2
 pieces unchanged (pigeonhole), so exact seeds, found together in one pass of an Aho-Corasick automaton, locate every
-candidate; the regex library's bounded-error matching then verifies the edits around each seed and gives the span.
+candidate: a stretch with two different pieces of one notice. The regex library's bounded-error matching then verifies
+the edits there and gives the span.
 
 Defined results: null or empty text has no words and no labels, null positions and score 0; equal spans of one label
 are reported once; repeated rows give a row each; an empty table gives no rows; other columns are ignored.
@@ -55,7 +56,7 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 
 def allowed_edits(notice: str) -> int:
-    """One edit for every twelve characters, so that a seed has about nine characters or more."""
+    """One edit for every twelve characters, so that a seed has about seven characters or more."""
     return max(1, len(notice) // 12)
 
 
@@ -65,29 +66,30 @@ class Scanner:
     def __init__(self, notices: dict[str, tuple[str, ...]]):
         self.notices = [(label, text, allowed_edits(text)) for label, texts in sorted(notices.items()) for text in texts]
         self.patterns = [regex.compile(rf"(?b)\b(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}\b") for _, text, k in self.notices]
-        seeds: dict[str, list[tuple[int, int]]] = {}
+        seeds: dict[str, list[tuple[int, int, int]]] = {}
         for number, (_, text, k) in enumerate(self.notices):
-            cuts = [len(text) * j // (k + 1) for j in range(k + 2)]
-            for low, high in zip(cuts, cuts[1:]):
-                seeds.setdefault(text[low:high], []).append((number, low))
+            cuts = [len(text) * j // (k + 2) for j in range(k + 3)]
+            for piece, (low, high) in enumerate(zip(cuts, cuts[1:])):
+                seeds.setdefault(text[low:high], []).append((number, piece, low))
         self.automaton = ahocorasick.Automaton()
         for seed, uses in seeds.items():
             self.automaton.add_word(seed, (len(seed), uses))
         self.automaton.make_automaton()
 
-    def windows(self, norm: str) -> dict[int, list[list[int]]]:
-        """Merged stretches of ``norm`` by notice, in which a match that contains a seed must lie."""
-        found: dict[int, list[list[int]]] = {}
+    def windows(self, norm: str) -> dict[int, list[list]]:
+        """Stretches [low, high, pieces seen] of ``norm`` by notice; a match lies in one that has seen two pieces."""
+        found: dict[int, list[list]] = {}
         for end, (size, uses) in self.automaton.iter(norm):
-            for number, offset in uses:
+            for number, piece, offset in uses:
                 _, text, k = self.notices[number]
                 low = max(0, end + 1 - size - offset - k)
                 high = min(len(norm), end + 1 - size - offset + len(text) + k)
                 spans = found.setdefault(number, [])
                 if spans and low <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], high)
+                    spans[-1][2].add(piece)
                 else:
-                    spans.append([low, high])
+                    spans.append([low, high, {piece}])
         return found
 
     def find(self, norm: str) -> list[tuple[str, int, int, int, float]]:
@@ -95,7 +97,9 @@ class Scanner:
         out = set()
         for number, spans in self.windows(norm).items():
             label, text, _ = self.notices[number]
-            for low, high in spans:
+            for low, high, pieces in spans:
+                if len(pieces) < 2:
+                    continue
                 # widen to whole words, so that word edges are judged as in the whole text
                 at, high = max(norm.rfind(" ", 0, low + 1), 0), high if (edge := norm.find(" ", high)) < 0 else edge
                 while at < high and (m := self.patterns[number].search(norm, at, high)):
