@@ -86,7 +86,7 @@ class Scanner:
                 high = min(len(norm), end + 1 - size - offset + len(text) + k)
                 spans = found.setdefault(number, [])
                 if spans and low <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], high)
+                    spans[-1][:2] = min(spans[-1][0], low), max(spans[-1][1], high)
                     spans[-1][2].add(piece)
                 else:
                     spans.append([low, high, {piece}])

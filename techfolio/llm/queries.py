@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, licenses, quality_zstd, rules_learn
+from . import bpe, common, langid, licenses, packing, quality_zstd, rules_learn
+
+def tokenizer_file(name: str) -> str:
+    """Place of a vocabulary of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +25,13 @@ def _query(fn):
     return fn
 
 
+@_query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    return bpe.digests(common.table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), PATTERN)
+
+
 @_query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
@@ -41,6 +55,12 @@ def op8_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", spans).drop("found")
 
 
+@_query
+def op9_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenised(common.table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return packing.packed(pieces)
+
+
 @_query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
