@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, langid, licenses, packing, quality_zstd, rules_learn
+from . import bpe, common, langid, licenses, ngram_join, packing, quality_zstd, rules_learn, secrets
 
 def tokenizer_file(name: str) -> str:
     """Place of a vocabulary of the installed public tokenizers."""
@@ -25,6 +25,15 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(common.table(spark, sf_dir, "documents"))
+    rows = found.withColumn("base", secrets.listed(secrets.KINDS[:3])).withColumn("every", secrets.listed())
+    counts = {f"n_{kind}": F.size(kind).cast("long") for kind in secrets.KINDS}
+    digest = F.sha2(secrets.written(F.col("base")), 256)
+    return rows.withColumns(counts).select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), secrets.written(F.col("every")).alias("spans"), "n_random")
+
+
 @_query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
@@ -40,6 +49,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "mixture")
 
 
+@_query
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(common.table(spark, sf_dir, "documents"))
+
+
 @_query
 def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
