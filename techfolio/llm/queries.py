@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, langid, licenses, ngram_join, packing, quality_zstd, rules_learn, secrets
+from . import bpe, common, html_main, langid, licenses, ngram_join, packing, quality_zstd, rules_learn, secrets, vectors
 
 def tokenizer_file(name: str) -> str:
     """Place of a vocabulary of the installed public tokenizers."""
@@ -34,6 +34,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns(counts).select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), secrets.written(F.col("every")).alias("spans"), "n_random")
 
 
+@_query
+def op2_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(common.table(spark, sf_dir, "pages"))
+
+
 @_query
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
@@ -41,6 +46,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), PATTERN)
 
 
+@_query
+def op4_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
