@@ -27,6 +27,24 @@ def crc_remainder(col: str, modulus: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus
 
 
+def hash_sample(rows: DataFrame, by: str, per_value: int, key: str = "doc_id") -> DataFrame:
+    """The ``per_value`` rows of each value of ``by`` with the smallest hash ``h`` of ``key``, numbered ``n`` from 1.
+
+    Counts per value come first; then a hash threshold leaves about twice the rows wanted of each value, so ordering
+    them takes no more rows for a value that most of the table has.
+    """
+    from pyspark.sql import Window
+
+    counts = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
+    space = 1 << 40
+    share = F.lit(0)
+    for value, count in sorted(counts.items(), key=lambda x: str(x[0])):
+        share = F.when(F.col(by) == F.lit(value), min(space, 2 * (per_value + 50) * space // count)).otherwise(share)
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64(key), F.lit(space))).filter(F.col("h") < share)
+    order = Window.partitionBy(by).orderBy("h", key)
+    return hashed.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_value)
+
+
 def map_rows(df: DataFrame, per_row: Callable, columns: list[str], schema: str, setup: Callable | None = None) -> DataFrame:
     """Apply ``per_row(*values) -> iterable of tuples`` to each row of ``df``, in Arrow batches inside the tasks.
 

@@ -71,11 +71,8 @@ def learn(docs: DataFrame, usable: Column, *, per_lang: int = 4000, smoothing: f
     At most ``per_lang`` documents of each language are read, those with the smallest hash of their id: a bound on the
     fit alone. Counts are summed in Spark; languages x CELLS numbers reach the driver, whatever the corpus.
     """
-    from pyspark.sql import Window
-
-    ranked = docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = ranked.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_lang).select("doc_id", "lang").distinct()
+    known = docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
+    chosen = common.hash_sample(known, "lang", per_lang).select("doc_id", "lang").distinct()
     # per_lang pairs a language: the size is bounded by the parameter
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").filter("text IS NOT NULL")
 

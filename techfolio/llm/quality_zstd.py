@@ -97,11 +97,9 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, p
 
     Bounds of the fit, and of the fit alone: ``per_class`` texts for each dictionary, each of at most ``max_bytes``
     bytes (longer ones are not taken), and ``calibrate`` other texts of any length for the calibration; those with the
-    smallest hash of their id. At most 2 x per_class x max_bytes bytes reach the driver, and three numbers for each text
+    smallest hash of their id. At most 4 x per_class x max_bytes bytes reach the driver, and three numbers for each text
     of the calibration, which is compressed on the executors.
     """
-    from pyspark.sql import Window
-
     known = labelled(labels)
     if usable is not None:
         known = known.filter(usable)
@@ -110,19 +108,18 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, p
     base = rates.get(1, 0) / total if total else 0.5
     if len(rates) < 2:
         return Model(None, None, (), base)
-    order = Window.partitionBy("label").orderBy("h", "doc_id")
-    ranked = known.withColumn("h", F.xxhash64("doc_id")).withColumn("n", F.row_number().over(order))
+    ranked = common.hash_sample(known, "label", max(4 * per_class, calibrate))
     # twice per_class (id, label) pairs; even ranks train, odd ranks calibrate, so no text does both
     train = F.broadcast(ranked.filter(f"n % 2 = 0 AND n <= {4 * per_class}").select("doc_id", "label"))
-    rows = docs.join(train, "doc_id").filter(f"text IS NOT NULL AND octet_length(text) <= {max_bytes}").select("label", "text", "doc_id")
-    top = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    got = rows.withColumn("k", F.row_number().over(top)).filter(f"k <= {per_class}").orderBy("label", "k").select("label", "text").toPandas()
-    good, bad = (_dictionary(got.loc[got["label"] == k, "text"].tolist(), dictionary_bytes) for k in (1, 0))
+    rows = docs.join(train, "doc_id").filter(f"text IS NOT NULL AND octet_length(text) <= {max_bytes}")
+    # one text for each id, however often the id is repeated
+    got = rows.groupBy("label", "doc_id").agg(F.min("text").alias("text")).toPandas().sort_values(["label", "doc_id"])
+    good, bad = (_dictionary(got.loc[got["label"] == k, "text"].head(per_class).tolist(), dictionary_bytes) for k in (1, 0))
     if good is None or bad is None:
         return Model(None, None, (), base)
     held = F.broadcast(ranked.filter(f"n % 2 = 1 AND n <= {calibrate}").select("doc_id", "label"))
-    sizes = common.map_rows(docs.join(held, "doc_id"), lambda s, label, text: [(label, *s.of(text or ""))], ["label", "text"], "label int, length long, good long, bad long", setup=lambda: Sizes(good, bad))
-    measured = sizes.toPandas().sort_values(["label", "length", "good", "bad"])
+    sizes = common.map_rows(docs.join(held, "doc_id"), lambda s, i, label, text: [(i, label, *s.of(text or ""))], ["doc_id", "label", "text"], "doc_id long, label int, length long, good long, bad long", setup=lambda: Sizes(good, bad))
+    measured = sizes.groupBy("doc_id", "label").agg(F.min(F.struct("length", "good", "bad")).alias("s")).select("label", "s.*").toPandas().sort_values(["label", "length", "good", "bad"])
     if measured["label"].nunique() < 2:
         return Model(None, None, (), base)
     x = np.array([features(*r) for r in measured[["length", "good", "bad"]].itertuples(index=False)])
