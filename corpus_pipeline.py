@@ -1,13 +1,80 @@
-"""Placeholder order of the corpus pipeline; the stages follow with their operators."""
+"""The corpus pipeline: documents become packed training sequences in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's ``docs``. All but the last return the columns of documents. Null texts, empty tables and repeated rows have the
+results that the operators' docstrings define; other columns pass through.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from techfolio.llm import common, langid, ngram_join, packing, rules_learn, secrets
+from techfolio.llm.queries import tokenizer_file
+from techfolio.session import scratch_path
+
+
+def _stage(fn):
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.ship(spark)
+        return fn(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a main language; those without letters or without a language that has half of them go."""
+    return langid.keep_identified(docs, langid.learn(docs, F.lit(True)))
+
+
+@_stage
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rule nor the learned decision list rejects."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return rules_learn.keep_passing(docs, rules_learn.learn(docs, labels))
+
+
+@_stage
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    return ngram_join.keep_one(docs, size=5, num=80, den=100)
+
+
+@_stage
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced by a mark; ``n_chars`` is that of the new text."""
+    clean = secrets.redact(docs)
+    return clean.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+@_stage
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    return packing.packed(packing.tokenised(docs, tokenizer_file("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Learned models and tokenizers stand between documents and rows: no SQL gives them. Tests hold stages to brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +16,24 @@ from pyspark.sql import functions as F
 HASH_BLOCK = 4 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per application, as ``--py-files`` would.
+
+    Functions reach the workers by the name of their module, and a worker has no other way to a package that is
+    neither installed on every node nor in its working directory.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_techfolio_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="py-files-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._techfolio_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,6 +91,37 @@ def map_rows(df: DataFrame, per_row: Callable, columns: list[str], schema: str,
     return df.select(*columns).mapInArrow(run, parsed)
 
 
+def with_results(df: DataFrame, per_row: Callable, columns: list[str], schema: str, setup: Callable | None = None) -> DataFrame:
+    """``df`` as one struct column ``row`` beside the columns of ``schema``, one result of ``per_row`` for each row.
+
+    Like ``map_rows``, but the rows travel along untouched, so nothing has to be joined back and the names of their
+    columns cannot clash with the results'. ``per_row`` yields one tuple.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    results = StructType.fromDDL(schema)
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.col(f"`{c}`").alias(f"in{k}") for k, c in enumerate(columns)])
+    arrow = to_arrow_schema(results)
+    out = StructType([whole.schema["row"], *results.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = (setup(),) if setup else ()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
+                values = [x.to_pylist() for x in part.columns[1:]]
+                rows = [next(iter(per_row(*first, *row))) for row in zip(*values, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)]], ["row", *arrow.names])
+
+    return whole.mapInArrow(run, out)
+
+
+def unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+    """The rows that ``with_results`` carried along, with their own columns."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in names])
+
+
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)

@@ -128,23 +128,36 @@ def mixture(counts: np.ndarray, p: np.ndarray, *, overlap: float = 3.0) -> np.nd
     return out
 
 
+def _judge(known: Model, text) -> tuple[str, float, str]:
+    counts = cell_counts(text) if text and known.langs else np.zeros(0)
+    cells = np.flatnonzero(counts)
+    if not len(cells):
+        return UNDETERMINED, 0.0, ""
+    share = mixture(counts[cells].astype(float), known.weight[cells])
+    order = [k for k in np.argsort(-share, kind="stable") if share[k] > 0]
+    return known.langs[order[0]], float(min(share[order[0]], 1.0)), ",".join(f"{known.langs[k]}:{share[k]:.4f}" for k in order)
+
+
+RESULT = "lang_pred string, score double, mixture string"
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, mixture) per row of ``docs`` (doc_id, text); mixture lists ``lang:share`` by share.
 
     A narrow map; the model travels with the task, languages x CELLS numbers.
     """
-    # the model's size depends on the number of languages only
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    return common.map_rows(docs, lambda i, text: [(i, *_judge(shared.value, text))], ["doc_id", "text"], f"doc_id long, {RESULT}")
 
-    def judge(doc_id, text):
-        known = shared.value
-        counts = cell_counts(text) if text and known.langs else np.zeros(0)
-        cells = np.flatnonzero(counts)
-        if not len(cells):
-            yield doc_id, UNDETERMINED, 0.0, ""
-            return
-        share = mixture(counts[cells].astype(float), known.weight[cells])
-        order = [k for k in np.argsort(-share, kind="stable") if share[k] > 0]
-        yield doc_id, known.langs[order[0]], float(min(share[order[0]], 1.0)), ",".join(f"{known.langs[k]}:{share[k]:.4f}" for k in order)
-
-    return common.map_rows(docs, judge, ["doc_id", "text"], "doc_id long, lang_pred string, score double, mixture string")
+
+def keep_identified(docs: DataFrame, model: Model, *, least_share: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with ``least_share`` or more of it; a null ``lang`` is filled in.
+
+    Undetermined texts and mixtures without a main language are rejected. Columns and their order stay.
+    """
+    names = docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    found = common.with_results(docs, lambda text: [_judge(shared.value, text)], ["text"], RESULT)
+    kept = found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_share))
+    lang = F.coalesce(F.col("row").getField("lang"), F.col("lang_pred"))
+    return kept.select(*[(lang if c == "lang" else F.col("row").getField(c)).alias(c) for c in names])

@@ -319,3 +319,18 @@ def join(docs: DataFrame, *, size: int = 4, num: int = 85, den: int = 100, group
     whole = same.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     # documents with one id are one node even when their sets differ
     return each.join(whole, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, **parameters) -> DataFrame:
+    """One row of each group of linked documents: the one with the smallest doc_id. Columns and their order stay.
+
+    Of rows that repeat a doc_id one stays, the first by text and the other columns' hash; rows without doc_id all stay.
+    """
+    from pyspark.sql import Window
+
+    names = docs.columns
+    kept = join(docs, **parameters).filter("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    within = Window.partitionBy("_id").orderBy("_text", F.xxhash64("row"))
+    one = rows.filter("_id IS NOT NULL").join(kept, F.col("_id") == F.col("_kept"), "left_semi").withColumn("_n", F.row_number().over(within)).filter("_n = 1")
+    return common.unpacked(one.select("row").union(rows.filter("_id IS NULL").select("row")), names)

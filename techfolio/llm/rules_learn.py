@@ -39,7 +39,7 @@ FEATURES = {
 }
 
 
-def _count(doc_id, text):
+def _count(text):
     data = text.encode("utf-8", "surrogatepass")
     b = np.frombuffer(data, np.uint8)
     words = common.word_hashes(data)
@@ -65,13 +65,15 @@ def _count(doc_id, text):
             lines += 1
             seen.add(line)
     copies = lines - len(seen)
-    yield doc_id, n, chars, int(_SYMBOLS[b].sum()), copies, repeated, int(_UPPER[b].sum()), int(_STOPS[b].sum()), len(np.unique(words))
+    return n, chars, int(_SYMBOLS[b].sum()), copies, repeated, int(_UPPER[b].sum()), int(_STOPS[b].sum()), len(np.unique(words))
+
+
+RESULT = ", ".join(f"{c} long" for c in COUNTS)
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """One row (doc_id, the counts of COUNTS) per row of ``docs`` (doc_id, text). A narrow map: no shuffle."""
-    rows = docs.select("doc_id", common.whole_text().alias("text"))
-    return common.map_rows(rows, _count, ["doc_id", "text"], "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return common.map_rows(docs, lambda i, text: [(i, *_count(text or ""))], ["doc_id", "text"], f"doc_id long, {RESULT}")
 
 
 def with_features(stats: DataFrame) -> DataFrame:
@@ -187,3 +189,10 @@ def judge(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     """``stats`` with base_failed, rule (0: none) and kept."""
     out = with_features(stats).withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def keep_passing(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of ``docs`` that neither the base rule nor a learned rule rejects. Columns and their order stay."""
+    names = docs.columns
+    judged = judge(common.with_results(docs, lambda text: [_count(text or "")], ["text"], RESULT), rules)
+    return common.unpacked(judged.filter("kept"), names)
