@@ -8,8 +8,10 @@ elements that remain on either side cannot reach the overlap its set sizes ask f
 Bringing together is exact. With similarity num/den, two sets of sizes a and b differ in at most
 H = (a + b)(den - num)/(den + num) elements. The hash range is cut into more than H equal segments, so at least one
 segment is the same in both; sets with an equal segment meet under its hash. Segment counts depend on a size class; a
-set takes part in its own class and in the next. A few spare segments allow those with fewer than two elements, which
-say little, to be left out: a set with more of them than spares uses all its segments.
+set takes part in its own class and in the next. A sixth more segments than that, the spare ones, allow those with fewer
+than two elements, which say little, to be left out (a set with more of them than spares uses all its segments), and ask
+for more than one meeting: a similar pair shares at least 1 + spare segments, so a set that meets others in fewer has no
+partner and goes. That removes what shares a passage or a frequent line only.
 
 Equal sets are reduced to one before, and inside a group a set is compared with a component only until its first link:
 components need no more, so a group of n near copies takes about n comparisons. Groups above ``group_elements``
@@ -63,11 +65,12 @@ class Segments:
         differ = 2 * (self.low[k + 1] - 1) * (self.den - self.num) // (self.den + self.num)
         if not differ:
             return 0, 0
-        spare = 1 + differ // 12
+        spare = 1 + differ // 6
         return differ + 1 + spare, spare
 
-    def keys(self, items: np.ndarray) -> np.ndarray:
-        """Hashes under which a set of sorted ``items`` meets others."""
+    def keys(self, items: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """Hashes under which a set of sorted ``items`` meets others, for its own class and the next, and in how many of
+        them it meets every partner at least."""
         own = self.class_of(len(items))
         sums = np.zeros(len(items) + 1, np.uint64)
         np.cumsum(common.mix(items), out=sums[1:])
@@ -78,13 +81,16 @@ class Segments:
                 continue
             at = ((items >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             edges = np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
-            held = np.diff(edges)
-            keep = held > 1
-            if np.count_nonzero(~keep) > spare:
+            keep = np.diff(edges) > 1
+            poor = int(np.count_nonzero(~keep))
+            # equal segments number 1 + spare or more; a partner may leave out its poor ones, at most spare
+            least = 1 + spare - poor
+            if poor > spare:
                 keep[:] = True
+                least = 1
             tag = np.arange(parts, dtype=np.uint64) + np.uint64(k << 40)
-            out.append(common.mix(sums[edges[1:]] - sums[edges[:-1]] + common.mix(tag))[keep])
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+            out.append((common.mix(sums[edges[1:]] - sums[edges[:-1]] + common.mix(tag))[keep], least))
+        return out
 
 
 class Tree:
@@ -196,15 +202,49 @@ def summaries(docs: DataFrame, size: int) -> DataFrame:
     return common.map_rows(docs, one, ["doc_id", "text"], "doc_id long, n_shingles long, d1 long, d2 long")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """(columns, first document of the row's key, is the key's only row) of batches sorted by key and document.
+
+    A batch waits for the next one, which tells whether its last key goes on; nothing else is held.
+    """
+    held, last_key, first = None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        if held is not None:
+            goes_on = now["key"][0] == held["key"][-1]
+            head, alone = _heads(held, last_key, first)
+            if goes_on:
+                alone[-1] = False
+            yield held, head, alone
+            last_key, first = held["key"][-1], head[-1]
+        held = now
+    if held is not None:
+        head, alone = _heads(held, last_key, first)
+        yield held, head, alone
+
+
+def _heads(columns: dict[str, np.ndarray], last_key, first) -> tuple[np.ndarray, np.ndarray]:
+    key, doc = columns["key"], columns["doc"]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.append(starts, len(key)))
+    heads, alone = doc[starts].copy(), sizes == 1
+    if last_key is not None and key[0] == last_key:
+        heads[0], alone[0] = first, False
+    return np.repeat(heads, sizes), np.repeat(alone, sizes)
+
+
 def _meetings(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(doc, first): documents that share a segment with the smallest document that has it."""
+    """(doc, first): documents that share a segment with the smallest document that has it, among those that meet others
+    often enough to have a partner."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments, seen = Segments(num, den), set()
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for low in range(0, len(ids), 500):
-                keys, names = [], []
+                keys, names, needs = [], [], []
                 for doc_id, text in zip(ids[low : low + 500], texts.slice(low, 500).to_pylist(), strict=True):
                     items = shingles(text, size)
                     digest = int(common.mix(items).sum(dtype=np.uint64))
@@ -213,32 +253,29 @@ def _meetings(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(digest)
-                    found = segments.keys(items)
-                    keys.append(found)
-                    names.append(np.full(len(found), doc_id, np.int64))
+                    for level, (found, least) in enumerate(segments.keys(items)):
+                        keys.append(found)
+                        names.append(np.full(len(found), doc_id, np.int64))
+                        needs.append(np.full(len(found), 2 * least + level, np.int32))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names))], ["key", "doc"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(needs))], ["key", "doc", "need"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, _, alone in _runs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(columns[c][~alone]) for c in ("key", "doc", "need")], ["key", "doc", "need"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, first = None, None
-        for batch in batches:
-            key, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc"))
-            if not len(key):
-                continue
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            heads = doc[starts].copy()
-            if last_key is not None and key[0] == last_key:
-                heads[0] = first
-            head = np.repeat(heads, np.diff(np.append(starts, len(key))))
-            last_key, first = key[-1], heads[-1]
-            away = np.flatnonzero(head != doc)
-            pairs = np.unique(np.stack((doc[away], head[away]), 1), axis=0) if len(away) else np.empty((0, 2), np.int64)
+        for columns, head, _ in _runs(batches):
+            away = np.flatnonzero(head != columns["doc"])
+            pairs = np.unique(np.stack((columns["doc"][away], head[away]), 1), axis=0) if len(away) else np.empty((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["doc", "first"])
 
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(emit, "key long, doc long")
+    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(emit, "key long, doc long, need int")
     # one shuffle brings equal segments together; the sorted partition is read as a stream, whatever a segment's size
-    met = rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(meet, "doc long, first long")
-    return met.distinct()
+    common_rows = rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(shared, "key long, doc long, need int").checkpoint()
+    often = common_rows.groupBy("doc", "need").agg(F.count("*").alias("n")).filter("n >= need div 2").select("doc", "need")
+    left = common_rows.join(often, ["doc", "need"]).select("key", "doc")
+    return left.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(meet, "doc long, first long").distinct()
 
 
 def _groups(members: DataFrame, num: int, den: int) -> DataFrame:
@@ -276,7 +313,7 @@ def join(docs: DataFrame, *, size: int = 4, num: int = 85, den: int = 100, group
     doc_id are one document; a null doc_id gets its count, no links and a null component; an empty table gives no rows;
     other columns are ignored.
     """
-    from ..session import ensure_checkpoint_dir
+    from ..session import ensure_checkpoint_dir, scratch_path
 
     ensure_checkpoint_dir(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -295,7 +332,10 @@ def join(docs: DataFrame, *, size: int = 4, num: int = 85, den: int = 100, group
     heads = sized.select("first", F.col("first").alias("doc"), "shards", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     members = members.unionByName(heads).checkpoint()
 
-    wanted = members.select(F.col("doc").alias("doc_id")).distinct()
+    # written, so that Spark knows the size of the list when it picks the join
+    path = scratch_path(docs.sparkSession, "ngram-sets")
+    members.select(F.col("doc").alias("doc_id")).distinct().write.parquet(path)
+    wanted = docs.sparkSession.read.schema("doc_id long").parquet(path)
 
     def pack(doc_id, text):
         yield doc_id, shingles(text, size).tobytes()
