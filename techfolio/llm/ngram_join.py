@@ -271,10 +271,30 @@ def _meetings(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["doc", "first"])
 
     rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(emit, "key long, doc long, need int")
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a document's rows of one class follow each other; they are held until the next ones begin
+        last, keys = None, []
+        for batch in batches:
+            key, doc, need = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc", "need"))
+            edges = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (need[1:] != need[:-1])))) if len(key) else np.empty(0, np.int64)
+            out_keys, out_docs = [], []
+            for low, high in zip(edges, np.append(edges[1:], len(key)), strict=True):
+                if (doc[low], need[low]) != last:
+                    if last is not None and sum(map(len, keys)) >= last[1] // 2:
+                        out_keys += keys
+                        out_docs += [np.full(sum(map(len, keys)), last[0])]
+                    last, keys = (doc[low], need[low]), []
+                keys.append(key[low:high])
+            if out_keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_keys)), pa.array(np.concatenate(out_docs))], ["key", "doc"])
+        if last is not None and sum(map(len, keys)) >= last[1] // 2:
+            held = np.concatenate(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), last[0]))], ["key", "doc"])
+
     # one shuffle brings equal segments together; the sorted partition is read as a stream, whatever a segment's size
-    common_rows = rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(shared, "key long, doc long, need int").checkpoint()
-    often = common_rows.groupBy("doc", "need").agg(F.count("*").alias("n")).filter("n >= need div 2").select("doc", "need")
-    left = common_rows.join(often, ["doc", "need"]).select("key", "doc")
+    met = rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(shared, "key long, doc long, need int")
+    # a second one, of those that somebody shares, brings each document's together
+    left = met.repartition("doc").sortWithinPartitions("doc", "need").mapInArrow(enough, "key long, doc long")
     return left.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(meet, "doc long, first long").distinct()
 
 
@@ -365,12 +385,26 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """One row of each group of linked documents: the one with the smallest doc_id. Columns and their order stay.
 
     Of rows that repeat a doc_id one stays, the first by text and the other columns' hash; rows without doc_id all stay.
+    The lists of ids that go and of ids that repeat are written first, so Spark knows their sizes when it picks the
+    joins: the texts are only moved where a list is too long to send around.
     """
     from pyspark.sql import Window
 
-    names = docs.columns
-    kept = join(docs, **parameters).filter("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
+    from ..session import scratch_path
+
+    spark, names = docs.sparkSession, docs.columns
+
+    def listed(ids: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(spark, label)
+        ids.write.parquet(path)
+        return spark.read.schema("_listed long").parquet(path)
+
+    found = join(docs, **parameters).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).filter("doc_id IS NOT NULL").checkpoint()
+    gone = listed(found.filter("doc_id <> c").select(F.col("doc_id").alias("_listed")), "ngram-gone")
+    again = listed(found.filter("doc_id = c AND n > 1").select(F.col("doc_id").alias("_listed")), "ngram-repeated")
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    is_listed = F.col("_id") == F.col("_listed")
+    single = rows.join(gone, is_listed, "left_anti").join(again, is_listed, "left_anti")
     within = Window.partitionBy("_id").orderBy("_text", F.xxhash64("row"))
-    one = rows.filter("_id IS NOT NULL").join(kept, F.col("_id") == F.col("_kept"), "left_semi").withColumn("_n", F.row_number().over(within)).filter("_n = 1")
-    return common.unpacked(one.select("row").union(rows.filter("_id IS NULL").select("row")), names)
+    first = rows.join(again, is_listed, "left_semi").withColumn("_n", F.row_number().over(within)).filter("_n = 1")
+    return common.unpacked(single.select("row").union(first.select("row")), names)
