@@ -212,7 +212,7 @@ def validate_profiles(profiles: DataFrame, as_of: Column) -> DataFrame:
         when(F.length(name) > 150, "legal_name", e, "Business name is too long"),
         when(F.lower(name).isin(*fx.PLACEHOLDER_NAMES), "legal_name", w, "Business name appears to be a placeholder"),
         when((c("total_awards") > 0) & (F.abs(expected - c("avg_award_amount")) > 1.0), "avg_award_amount", w,
-             "Average award amount does not match funding over awards"),
+             F.format_string(fx.AVERAGE_MISMATCH, c("avg_award_amount").cast("string"), expected.cast("string"))),
         when(c("total_funding") > 1_000_000_000, "total_funding", w, "Total funding amount is unusually high"),
         when(c("avg_award_amount") > 50_000_000, "avg_award_amount", w, "Average award amount is unusually high"),
         when(c("first_award_date") > c("last_award_date"), "first_award_date", e, "First award date cannot be after last award date"),

@@ -31,16 +31,17 @@ def paired(predictions: DataFrame, labels: DataFrame, prediction: str = "predict
     )
 
 
-def confusion(pairs: DataFrame) -> DataFrame:
-    """Long confusion table, dense over the labels seen on either side, with zeros.
+def confusion(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Long confusion table, dense over ``labels`` (label), with zeros; by default over the labels in ``pairs``.
 
-    The pair counts are tiny after aggregation (labels squared); the dense grid is the labels joined to
-    themselves on a constant, which those counts bound.
+    Pass the labels of both full tables (:func:`label_universe`) to have those outside the overlap as well. The labels
+    are those of a taxonomy: they fit one array, from which the grid unfolds.
     """
     counts = pairs.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
-    labels = label_universe(counts.select(F.col("actual").alias("label")), counts.select(F.col("predicted").alias("label")))
-    side = labels.withColumn("k", F.lit(0))
-    grid = side.select(F.col("label").alias("actual"), "k").join(side.select(F.col("label").alias("predicted"), "k"), "k").drop("k")
+    if labels is None:
+        labels = label_universe(counts.select(F.col("actual").alias("label")), counts.select(F.col("predicted").alias("label")))
+    every = labels.agg(F.collect_set("label").alias("every"))
+    grid = every.select(F.explode("every").alias("actual"), "every").select("actual", F.explode("every").alias("predicted"))
     return grid.join(counts, ["actual", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
@@ -62,11 +63,15 @@ def _label_counts(pairs: DataFrame) -> DataFrame:
     )
 
 
-def label_metrics(pairs: DataFrame) -> DataFrame:
-    """Precision, recall and F1 per label."""
+def label_metrics(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Precision, recall and F1 per label of ``labels`` (label), zeros for those outside the overlap; by default per
+    label in ``pairs``."""
     p = ratio(F.col("tp"), F.col("predicted_n"))
     r = ratio(F.col("tp"), F.col("actual_n"))
-    return _label_counts(pairs).select(
+    counts = _label_counts(pairs)
+    if labels is not None:
+        counts = labels.select("label").distinct().join(counts, "label", "left").na.fill(0, ["tp", "predicted_n", "actual_n"])
+    return counts.select(
         "label", F.col("actual_n").alias("support"), p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1")
     )
 
@@ -130,7 +135,10 @@ def ab_compare(predictions: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def ab_label_metrics(predictions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per label and variant: support, precision, recall, F1. Both variants share one pass over the rows."""
+    """Per true label and variant: support, precision, recall, F1. Both variants share one pass over the rows.
+
+    A label that is only predicted has no support and no row; it still counts against the precision of others.
+    """
     rows = _both(predictions, labels)
     variants = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("predicted")) for v in ("baseline", "enhanced")])
     cells = rows.groupBy("label", "baseline", "enhanced").agg(F.count(F.lit(1)).alias("n"))
@@ -145,6 +153,8 @@ def ab_label_metrics(predictions: DataFrame, labels: DataFrame) -> DataFrame:
         F.sum("tp").alias("tp"), F.sum("p").alias("p"), F.sum("a").alias("support")
     )
     precision, recall = ratio(F.col("tp"), F.col("p")), ratio(F.col("tp"), F.col("support"))
+    true = sums.groupBy("label").agg(F.max("support").alias("s")).filter("s > 0").select("label", F.explode(F.array(F.lit("baseline"), F.lit("enhanced"))).alias("variant"))
+    sums = true.join(sums, ["variant", "label"], "left").na.fill(0, ["tp", "p", "support"])
     return sums.select("variant", "label", "support", precision.alias("precision"), recall.alias("recall"), _f1(precision, recall).alias("f1"))
 
 
@@ -156,6 +166,20 @@ def weighted_metrics(per_label: DataFrame) -> DataFrame:
     )
 
 
+def ab_improvements(weighted: DataFrame) -> DataFrame:
+    """One row: weighted precision, recall and F1 of ``enhanced`` less those of ``baseline``."""
+    of = lambda variant, m: F.max(F.when(F.col("variant") == variant, F.col(m)))
+    return weighted.agg(*[(of("enhanced", m) - of("baseline", m)).alias(f"{m}_improvement") for m in ("precision", "recall", "f1")])
+
+
+def ab_confusions(predictions: DataFrame, labels: DataFrame) -> DataFrame:
+    """One confusion table per variant, long and dense over the true labels: (variant, actual, predicted, n)."""
+    both = _both(predictions, labels)
+    true = both.select("label").distinct()
+    parts = [confusion(both.select(F.col(v).alias("predicted"), F.col("label").alias("actual")), true).select(F.lit(v).alias("variant"), "actual", "predicted", "n") for v in ("baseline", "enhanced")]
+    return parts[0].unionByName(parts[1])
+
+
 def category_improvement(per_label: DataFrame) -> DataFrame:
     """F1 of both variants per true label, with absolute and relative change."""
     pick = lambda v: F.max(F.when(F.col("variant") == v, F.col("f1")))

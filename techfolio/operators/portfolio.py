@@ -74,13 +74,16 @@ def with_area_name(df: DataFrame, taxonomy: DataFrame, id_column: str = "primary
 
 
 # --- review queue ----------------------------------------------------------------------------
-def queue_state(events: DataFrame, as_of: Column | None = None) -> DataFrame:
+def queue_state(events: DataFrame) -> DataFrame:
     """Current queue from its events (queue_id, award_id, reason, status, assigned_to, opened_at, due_by,
-    changed_at, resolution_notes): newest status, last given note, resolution time once resolved or escalated.
+    changed_at, resolution_notes): newest status, last note that isn't empty, resolution time once resolved or
+    escalated. Equal times are ordered by ``event_no`` where the events have it.
 
     Aggregated per queue id with map-side combine; nothing is collected per key.
     """
-    seen = F.struct("changed_at", "status")
+    when = ["changed_at", *(["event_no"] if "event_no" in events.columns else [])]
+    seen = F.struct(*when, "status")
+    note = F.nullif(F.col("resolution_notes"), F.lit(""))
     closed = F.col("status").isin("resolved", "escalated")
     folded = events.groupBy("queue_id").agg(
         F.min("award_id").alias("award_id"),
@@ -90,7 +93,7 @@ def queue_state(events: DataFrame, as_of: Column | None = None) -> DataFrame:
         F.min("due_by").alias("due_by"),
         F.max(seen).alias("last"),
         F.max(F.when(closed, F.col("changed_at"))).alias("resolved_at"),
-        F.max(F.when(F.col("resolution_notes").isNotNull(), F.struct("changed_at", "resolution_notes"))).alias("note"),
+        F.max(F.when(note.isNotNull(), F.struct(*when, "resolution_notes"))).alias("note"),
     )
     return folded.select(
         "queue_id", "award_id", "reason", F.col("last.status").alias("status"), "assigned_to", "opened_at", "due_by",

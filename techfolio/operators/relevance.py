@@ -12,9 +12,11 @@ from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rules import top_of
+
 from ..functions import fixed_values as fx
 from ..functions.cleaning import let
 from ..functions.literals import constant
@@ -229,17 +231,23 @@ def score_map(text: Column, areas: Areas | None = None) -> Column:
     return F.map_from_entries(pairs)
 
 
-def top_n(scores: DataFrame, n: int) -> DataFrame:
-    """The n best areas per key with their rank, from long scores."""
-    order = Window.partitionBy("key").orderBy(F.desc("score"), "cet_id")
-    return scores.withColumn("area_rank", F.row_number().over(order)).where(F.col("area_rank") <= n)
+def _scores(texts: DataFrame, areas: Areas | None, digits: int | None) -> DataFrame:
+    value = lambda p: p["score"] if digits is None else F.round(p["score"], digits)
+    return texts.select("key", F.transform(component_array(F.col("text"), areas), lambda p: F.struct(p["cet_id"].alias("cet_id"), value(p).alias("score"))).alias("scores"))
+
+
+def top_areas(texts: DataFrame, n: int, areas: Areas | None = None, digits: int | None = None) -> DataFrame:
+    """The n best areas per text with their rank, ``digits`` decided on. A text's areas lie in one array: no shuffle."""
+    best = _scores(texts, areas, digits).select("key", F.posexplode_outer(top_of(F.col("scores"), n)).alias("p", "s"))
+    return best.select("key", "s.cet_id", "s.score", (F.col("p") + 1).alias("area_rank"))
 
 
-def normalize(scores: DataFrame) -> DataFrame:
-    """Scores of a key divided by their sum; all zero stays zero. A key has one row per area."""
-    positive = F.greatest(F.col("score"), F.lit(0.0))
-    total = F.sum(positive).over(Window.partitionBy("key"))
-    return scores.withColumn("score", F.when(total > 0, positive / total).otherwise(0.0))
+def normalized(texts: DataFrame, areas: Areas | None = None) -> DataFrame:
+    """(key, cet_id, score): positive scores divided by their sum over the text's areas; all zero stays zero."""
+    positive = lambda s: F.greatest(s["score"], F.lit(0.0))
+    rows = _scores(texts, areas, None).withColumn("total", F.aggregate("scores", F.lit(0.0), lambda a, s: a + positive(s)))
+    shares = F.transform("scores", lambda s: F.struct(s["cet_id"].alias("cet_id"), F.when(F.col("total") > 0, positive(s) / F.col("total")).otherwise(0.0).alias("score")))
+    return rows.select("key", F.inline_outer(shares))
 
 
 def parsed_scores(provided: Column, text: Column, areas: Areas | None = None) -> Column:

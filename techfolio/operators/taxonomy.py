@@ -28,18 +28,17 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def with_supporting_names(df: DataFrame, taxonomy: DataFrame, column: str = "supporting_cet_ids") -> DataFrame:
-    """``supporting_names``: area names of an id list (at most three ids), ids without a name kept.
+    """``supporting_names``: area names of an id list, ids without a name kept, nulls left out.
 
-    One join per list position, so no list is exploded and no row is regrouped.
+    The names depend on the list alone, and lists are few: each distinct one is named once and joined back.
     """
     names = taxonomy.select(F.col("cet_id").alias("__id"), F.col("name").alias("__name"))
-    parts: list[Column] = []
-    for i in range(3):
-        side = names.select(F.col("__id").alias(f"__id{i}"), F.col("__name").alias(f"__name{i}"))
-        df = df.join(side, F.get(F.col(column), F.lit(i)) == F.col(f"__id{i}"), "left")
-        parts.append(F.coalesce(F.col(f"__name{i}"), F.get(F.col(column), F.lit(i))))
-    listed = F.when(F.col(column).isNotNull(), F.filter(F.array(*parts), lambda x: x.isNotNull()))
-    return df.withColumn("supporting_names", listed).drop(*[f"__id{i}" for i in range(3)], *[f"__name{i}" for i in range(3)])
+    lists = df.select(F.col(column).alias("__list")).where(F.col("__list").isNotNull()).distinct()
+    each = lists.select("__list", F.posexplode_outer("__list").alias("__pos", "__id")).join(names, "__id", "left")
+    shown = F.struct("__pos", F.coalesce("__name", "__id").alias("name"))
+    named = each.groupBy("__list").agg(F.array_sort(F.collect_list(F.when(F.col("__id").isNotNull(), shown))).alias("__named"))
+    named = named.select("__list", F.transform("__named", lambda x: x["name"]).alias("supporting_names"))
+    return df.join(named, F.col(column) == F.col("__list"), "left").drop("__list")
 
 
 def reassess(

@@ -140,7 +140,9 @@ def j8b(t):
     return lk.match_awardees(claims(t), entities(t), strategy="name_only")
 
 
-@query("j8b_award_number_match", f"WITH {_ENT_SQL}\nSELECT award_id, award_number IN (SELECT award_number FROM entity_awards) AS award_number_match FROM claims")
+@query("j8b_award_number_match", f"""WITH {_ENT_SQL}, m AS (SELECT award_id, CASE WHEN coalesce(length(award_number), 0) = 0 OR NOT EXISTS (SELECT 1 FROM entity_awards e WHERE e.uei = c.awardee_uei AND length(e.award_number) > 0) THEN 'award_number_missing'
+  WHEN EXISTS (SELECT 1 FROM entity_awards e WHERE e.uei = c.awardee_uei AND e.award_number = c.award_number) THEN 'exact_award_number' ELSE 'award_number_mismatch' END AS match_method FROM claims c)
+SELECT award_id, match_method = 'exact_award_number' AS is_match, CASE WHEN match_method = 'exact_award_number' THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence_score, match_method FROM m""")
 def j8n(t):
     return lk.match_award_numbers(claims(t), entity_awards(t))
 

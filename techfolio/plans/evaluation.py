@@ -28,22 +28,45 @@ def a14(t):
     return ev.agreement(_pairs(t))
 
 
-def _per_label(pred: str) -> str:
+# labels of all predictions and of all reviewer rows, in the overlap or not
+_UNIVERSE = ", universe AS (SELECT enhanced AS label FROM predictions UNION SELECT label FROM reviewer)\n"
+
+
+def _universe(t):
+    return ev.label_universe(t.predictions.select(F.col("enhanced").alias("label")), t.reviewer.select("label"))
+
+
+def _per_label(pred: str, labels: str) -> str:
     return f"""SELECT label, count(*) FILTER (actual = label) AS support,
   coalesce(CAST(count(*) FILTER (actual = label AND {pred} = label) AS DOUBLE) / nullif(count(*) FILTER ({pred} = label), 0), 0) AS precision,
   coalesce(CAST(count(*) FILTER (actual = label AND {pred} = label) AS DOUBLE) / nullif(count(*) FILTER (actual = label), 0), 0) AS recall
-  FROM pairs CROSS JOIN (SELECT actual AS label FROM pairs UNION SELECT {pred} FROM pairs) GROUP BY label"""
+  FROM pairs CROSS JOIN ({labels}) GROUP BY label"""
 
 
-@query("a14_label_metrics", _PAIRS + f", m AS ({_per_label('predicted')}) SELECT *, {_F1} AS f1 FROM m")
+@query("a14_label_metrics", _PAIRS + _UNIVERSE + f", m AS ({_per_label('predicted', 'SELECT label FROM universe')}) SELECT *, {_F1} AS f1 FROM m")
 def a14m(t):
-    return ev.label_metrics(_pairs(t))
+    return ev.label_metrics(_pairs(t), _universe(t))
+
+
+# the reviewed sources only: predictions of the others carry a label that no pair has
+_SOME = _PAIRS.replace("predictions JOIN reviewer USING (award_id)", "predictions JOIN reviewer USING (award_id) WHERE enhanced <> 'other'") + _UNIVERSE
 
 
-@query("a15_confusion", _PAIRS + """, l AS (SELECT actual AS label FROM pairs UNION SELECT predicted FROM pairs)
-SELECT a.label AS actual, b.label AS predicted, count(p.award_id) AS n FROM l a CROSS JOIN l b LEFT JOIN pairs p ON p.actual = a.label AND p.predicted = b.label GROUP BY 1, 2""")
+@query("a14_label_metrics_outside_overlap", _SOME + f", m AS ({_per_label('predicted', 'SELECT label FROM universe')}) SELECT *, {_F1} AS f1 FROM m")
+def a14o(t):
+    return ev.label_metrics(_pairs(t).filter("predicted <> 'other'"), _universe(t))
+
+
+@query("a15_confusion", _SOME + """
+SELECT a.label AS actual, b.label AS predicted, count(p.award_id) AS n FROM universe a CROSS JOIN universe b LEFT JOIN pairs p ON p.actual = a.label AND p.predicted = b.label GROUP BY 1, 2""")
 def a15(t):
-    return ev.confusion(_pairs(t))
+    return ev.confusion(_pairs(t).filter("predicted <> 'other'"), _universe(t))
+
+
+@query("a15_a16_confusion_by_variant", _PAIRS + """, l AS (SELECT DISTINCT actual AS label FROM pairs), v AS (SELECT 'baseline' AS variant, actual, baseline AS predicted FROM pairs UNION ALL SELECT 'enhanced', actual, enhanced FROM pairs), n AS (SELECT DISTINCT variant FROM v)
+SELECT n.variant, a.label AS actual, b.label AS predicted, count(v.actual) AS n FROM n CROSS JOIN l a CROSS JOIN l b LEFT JOIN v ON v.variant = n.variant AND v.actual = a.label AND v.predicted = b.label GROUP BY 1, 2, 3""")
+def a15v(t):
+    return ev.ab_confusions(t.predictions, t.reviewer)
 
 
 @query("a16_ab_comparison", _PAIRS + """, r AS (SELECT count(*) AS n, CAST(count(*) FILTER (baseline = actual) AS DOUBLE) / count(*) AS b, CAST(count(*) FILTER (enhanced = actual) AS DOUBLE) / count(*) AS e FROM pairs)
@@ -52,7 +75,7 @@ def a16(t):
     return ev.ab_compare(t.predictions, t.reviewer)
 
 
-_AB = _PAIRS + f""", m AS (SELECT 'baseline' AS variant, * FROM ({_per_label('baseline')}) UNION ALL SELECT 'enhanced', * FROM ({_per_label('enhanced')})), ab AS (SELECT *, {_F1} AS f1 FROM m)
+_AB = _PAIRS + f""", m AS (SELECT 'baseline' AS variant, * FROM ({_per_label('baseline', 'SELECT DISTINCT actual AS label FROM pairs')}) UNION ALL SELECT 'enhanced', * FROM ({_per_label('enhanced', 'SELECT DISTINCT actual AS label FROM pairs')})), ab AS (SELECT *, {_F1} AS f1 FROM m)
 """
 
 
@@ -68,6 +91,13 @@ def a16w(t):
     return df.select("variant", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query("a16_improvements", _AB + """, w AS (SELECT variant, sum(precision * support) / sum(support) AS p, sum(recall * support) / sum(support) AS r, sum(f1 * support) / sum(support) AS f FROM ab GROUP BY 1)
+SELECT round(e.p - b.p, 9) AS precision_improvement, round(e.r - b.r, 9) AS recall_improvement, round(e.f - b.f, 9) AS f1_improvement FROM w e JOIN w b ON e.variant = 'enhanced' AND b.variant = 'baseline'""")
+def a16i(t):
+    df = ev.ab_improvements(ev.weighted_metrics(ev.ab_label_metrics(t.predictions, t.reviewer)))
+    return df.select(*[F.round(c, 9).alias(c) for c in df.columns])
+
+
 # The p-value needs erfc, which the SQL engine lacks; the counts and the statistic are compared.
 @query("a17_mcnemar", _PAIRS + """, d AS (SELECT count(*) FILTER (baseline = actual AND enhanced <> actual) AS b, count(*) FILTER (baseline <> actual AND enhanced = actual) AS c FROM pairs)
 SELECT b, c, coalesce(CAST(CASE WHEN b + c < 25 THEN (abs(b - c) - 1) ** 2 ELSE (b - c) ** 2 END AS DOUBLE) / nullif(b + c, 0), 0) AS statistic FROM d""")

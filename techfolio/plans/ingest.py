@@ -138,7 +138,7 @@ SELECT row_id, "Award_Number" AS award_id, "Agency_Code" AS agency, "Bureau" AS
        phase, firm AS firm_name, city AS firm_city, state AS firm_state, amount AS award_amount, award_year AS award_date, solicitation_year
 FROM raw""")
 def s1(t):
-    return award_csv.read_award_csv(t.spark, _written_csv(t, raw_awards(t)))
+    return award_csv.read_award_csv(t.spark, _written_csv(t, raw_awards(t)), multiline=True)
 
 
 _YEARLY_SQL = _RAW + """, yearly AS (
@@ -157,7 +157,7 @@ def _yearly(t):
 
 @query("s2_read_yearly_csv", _YEARLY_SQL + "SELECT * FROM yearly")
 def s2(t):
-    return award_csv.read_yearly_csv(t.spark, _written_csv(t, _yearly(t)))
+    return award_csv.read_yearly_csv(t.spark, _written_csv(t, _yearly(t)), multiline=True)
 
 
 @query("s3_column_aliases", _RAW + """

@@ -16,7 +16,10 @@ from .prose import PROSE_RULES
 from .registry import query
 from .text import _DOC, _rule_sql, q
 
-CFG = ft.TextConfig(stop_words=("the", "of", "and", "la", "de"), max_features=5000, select=1000)
+#: The reference settings: 50,000 features, 20,000 selected, its stop words, 500 iterations. They belong to the models.
+CFG = ft.TextConfig()
+#: The long form keeps every term within the document-frequency bounds.
+LONG = ft.TextConfig(max_features=None, select=None)
 _STOPS = ", ".join(q(s) for s in CFG.stop_words)
 
 
@@ -31,7 +34,7 @@ g AS (SELECT key, array_to_string(w[i : i + n - 1], ' ') AS term FROM (SELECT ke
 c AS (SELECT key, term, count(*) AS n FROM g GROUP BY 1, 2),
 docs AS (SELECT count(*) AS n_docs FROM documents),
 stats AS (SELECT term, sum(n)::BIGINT AS tf, count(*) AS df FROM c GROUP BY 1),
-vocab AS (SELECT term, tf, df, ln((1.0::DOUBLE + n_docs) / (df + 1.0::DOUBLE)) + 1 AS idf FROM stats, docs WHERE df >= 2 AND df <= 0.95::DOUBLE * n_docs ORDER BY tf DESC, term LIMIT 5000),
+vocab AS (SELECT term, tf, df, ln((1.0::DOUBLE + n_docs) / (df + 1.0::DOUBLE)) + 1 AS idf FROM stats, docs WHERE df >= 2 AND df <= 0.95::DOUBLE * n_docs),
 x AS (SELECT key, term, n * idf AS x FROM c JOIN vocab USING (term)),
 nrm AS (SELECT key, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1),
 tfidf AS (SELECT key, term, x / norm AS weight FROM x JOIN nrm USING (key)),
@@ -44,14 +47,14 @@ chi AS (SELECT t.term, sum((coalesce(o, 0) - share * total) ** 2 / (share * tota
 
 
 def _vocab(t):
-    texts = t.texts.select("key", "text")
-    n = texts.count()
-    return texts, ft.vocabulary(ft.term_statistics(texts, CFG), n, CFG.for_corpus(n))
+    counts = ft.term_counts(t.texts.select("key", "text"), LONG)
+    n = t.texts.count()
+    return counts, ft.vocabulary(ft.statistics_of(counts), n, LONG.for_corpus(n))
 
 
-@query("m12_term_statistics", _FEATURES + "SELECT term, tf, df FROM stats WHERE df >= 2")
+@query("m12_term_statistics", _FEATURES + "SELECT term, tf, df FROM stats")
 def m12s(t):
-    return ft.term_statistics(t.texts, CFG).where("df >= 2")
+    return ft.term_statistics(t.texts, LONG)
 
 
 @query("m12_tfidf_vocabulary", _FEATURES + "SELECT term, tf, df, round(idf, 9) AS idf FROM vocab")
@@ -61,15 +64,13 @@ def m12v(t):
 
 @query("m12_tfidf_weights", _FEATURES + "SELECT key, term, round(weight, 9) AS weight FROM tfidf")
 def m12(t):
-    texts, vocab = _vocab(t)
-    return ft.tfidf_rows(texts, vocab, CFG).withColumn("weight", F.round("weight", 9))
+    return ft.tfidf_rows(*_vocab(t)).withColumn("weight", F.round("weight", 9))
 
 
 @query("m13_chi2_scores", _FEATURES + "SELECT term, round(chi2, 6) AS chi2 FROM chi")
 def m13(t):
-    texts, vocab = _vocab(t)
     labels = t.texts.select("key", F.col("agency").alias("label"))
-    return ft.chi2_rows(ft.tfidf_rows(texts, vocab, CFG), labels).withColumn("chi2", F.round("chi2", 6))
+    return ft.chi2_rows(ft.tfidf_rows(*_vocab(t)), labels).withColumn("chi2", F.round("chi2", 6))
 
 
 @query("m14_class_weights", "SELECT lang AS label, count(*) AS n, (SELECT count(*) FROM documents)::DOUBLE / (4 * count(*)) AS weight FROM documents GROUP BY 1")
@@ -79,20 +80,20 @@ def m14(t):
 
 @query("m15_logistic_probabilities")
 def m15(t):
-    model = cf.fit(examples(t), cf.ModelConfig(text=CFG, calibrate=False, max_iter=100))
+    model = cf.fit(examples(t), cf.ModelConfig(text=CFG, calibrate=False, partitions=2))
     return model.probabilities(t.texts).select("key", "probabilities")
 
 
 @query("m16_m17_calibrated_predictions")
 def m17(t):
-    model = cf.fit(examples(t), cf.ModelConfig(text=CFG, max_iter=100))
+    model = cf.fit(examples(t), cf.ModelConfig(text=CFG, partitions=2))
     return model.predict(t.texts)
 
 
 @query("w8_primary_and_supporting")
 def w8(t):
     labelled = t.texts.select("key", "text", F.col("agency").alias("label"))
-    model = cf.fit(labelled, cf.ModelConfig(text=CFG, calibrate=False, max_iter=50))
+    model = cf.fit(labelled, cf.ModelConfig(text=CFG, calibrate=False, partitions=2))
     return model.predict(t.texts)
 
 
@@ -106,7 +107,7 @@ def _sources(t):
 @query("m18_multi_source_features")
 def m18(t):
     rows = _sources(t)
-    sources = cf.fit_multi_source(rows, max_features=3000)
+    sources = cf.fit_multi_source(rows)
     from pyspark.ml.functions import vector_to_array
 
     vectors = sources.transform(rows).withColumn("v", vector_to_array("features"))
@@ -117,19 +118,25 @@ def m18(t):
 @query("m19_multi_source_top_areas")
 def m19(t):
     rows = _sources(t)
-    return cf.fit_multi_source_model(rows, max_features=3000).top(rows, 2)
+    return cf.fit_multi_source_model(rows).top(rows, 2)
 
 
 @query("m20_feature_importance")
 def m20(t):
-    return cf.fit_multi_source_model(_sources(t), max_features=3000).importance(t.spark)
+    return cf.fit_multi_source_model(_sources(t)).importance(t.spark)
 
 
-@query("m24_boosted_features", _FEATURES + """
-SELECT term, CASE WHEN contains(term, 'th') OR contains(term, 'eaux') THEN 2.0 WHEN contains(term, 'er') THEN 1.5 ELSE 1.0 END::DOUBLE AS boost FROM vocab""")
+_BOOST = "CASE WHEN contains(term, 'th') OR contains(term, 'eaux') THEN 2.0 WHEN contains(term, 'er') THEN 1.5 ELSE 1.0 END::DOUBLE"
+
+
+@query("m24_boosted_features", _FEATURES + f"SELECT term, {_BOOST} AS boost FROM vocab")
 def m24(t):
-    vec = ft.fit_vectoriser(t.texts.select("text"), CFG)
-    return ft.boost_rows(ft.boosted(vec, ["th", "eaux"], ["er"]), t.spark)
+    return _vocab(t)[1].select("term", ft.boost_factor(F.col("term"), ["th", "eaux"], ["er"]).alias("boost"))
+
+
+@query("m24_boosted_weights", _FEATURES + f"SELECT key, term, round(weight * {_BOOST}, 9) AS weight FROM tfidf")
+def m24w(t):
+    return ft.boosted_rows(ft.tfidf_rows(*_vocab(t)), ["th", "eaux"], ["er"]).withColumn("weight", F.round("weight", 9))
 
 
 @query("m23_enrichment_experiment")
@@ -141,7 +148,7 @@ def m23(t):
         c.cast("string").alias("key"), F.col("lang").alias("label"), F.col("text").alias("baseline_text"),
         tx.enriched_text(F.col("text"), description, words).alias("enriched_text"),
     )
-    small = cf.ModelConfig(text=CFG, calibrate=False, max_iter=50)
+    small = cf.ModelConfig(text=CFG, calibrate=False, partitions=2)
     return ev.experiment_summary(cf.run_experiment(rows, small))
 
 

@@ -283,7 +283,7 @@ _EVENTS_SQL = ctes("queue") + """, events_q AS (
          opened_at + INTERVAL 10 DAY, CASE WHEN reason = 'conflict' THEN 'seen by two' END FROM queue WHERE status <> 'pending'
   UNION ALL
   SELECT queue_id, award_id, reason, 'resolved', NULL, opened_at, due_by, opened_at + INTERVAL 30 DAY,
-         CASE WHEN reason = 'missing_text' THEN 'text found' END FROM queue WHERE status = 'in_review')
+         CASE WHEN reason = 'missing_text' THEN 'text found' ELSE '' END FROM queue WHERE status = 'in_review')
 """
 
 
@@ -302,7 +302,7 @@ def _queue_events(t):
                   F.concat(F.lit("reviewer "), F.substring("award_id", 1, 1)), day(10),
                   F.when(F.col("reason") == "conflict", "seen by two"))
     done = event(q.where(F.col("status") == "in_review"), F.lit("resolved"), none, day(30),
-                 F.when(F.col("reason") == "missing_text", "text found"))
+                 F.when(F.col("reason") == "missing_text", "text found").otherwise(""))
     return opened.unionByName(moved).unionByName(done)
 
 
@@ -310,7 +310,7 @@ def _queue_events(t):
 SELECT queue_id, min(award_id) AS award_id, min(reason) AS reason, arg_max(status, changed_at) AS status,
        max(assigned_to) AS assigned_to, min(opened_at) AS opened_at, min(due_by) AS due_by,
        max(changed_at) FILTER (status IN ('resolved', 'escalated')) AS resolved_at,
-       arg_max(resolution_notes, changed_at) FILTER (resolution_notes IS NOT NULL) AS resolution_notes
+       arg_max(resolution_notes, changed_at) FILTER (resolution_notes <> '') AS resolution_notes
 FROM events_q GROUP BY queue_id""")
 def w12(t):
     return pf.queue_state(_queue_events(t))

@@ -182,10 +182,9 @@ kept AS (SELECT item_id, array_to_string(p, ' ') AS phrase FROM u WHERE list_con
 """
 
 
-@query("p20_technical_phrases", _PHRASE_SQL + "SELECT item_id, list_sort(list(phrase)) AS phrases FROM kept GROUP BY 1")
+@query("p20_technical_phrases", _PHRASE_SQL + "SELECT item_id, list_sort(coalesce(list(phrase) FILTER (phrase IS NOT NULL), [])) AS phrases FROM benchmark LEFT JOIN kept USING (item_id) GROUP BY 1")
 def p20(t):
-    rows = t.raw("benchmark").select("item_id", tx.technical_phrases(F.col("text")).alias("phrases"))
-    return rows.where(F.size("phrases") > 0)
+    return t.raw("benchmark").select("item_id", tx.technical_phrases(F.col("text")).alias("phrases"))
 
 
 @query("p21_drop_non_technical", f"""
@@ -388,12 +387,12 @@ def m8(t):
 @query("m9_normalized_scores", _REL + """
 SELECT key, cet_id, round(CASE WHEN sum(score) OVER (PARTITION BY key) > 0 THEN score / sum(score) OVER (PARTITION BY key) ELSE 0 END, 6) AS score FROM rel""")
 def m9(t):
-    return _rounded(relevance.normalize(relevance.score(t.texts, PROSE_AREAS)), "score")
+    return _rounded(relevance.normalized(t.texts, PROSE_AREAS), "score")
 
 
-@query("m10_explained_scores", _REL + f"SELECT key, cet_id, matched, {_PARTS} FROM rel WHERE len(matched) > 0")
+@query("m10_explained_scores", _REL + f"SELECT key, cet_id, coalesce(matched, []) AS matched, {_PARTS} FROM rel")
 def m10(t):
-    df = relevance.components(t.texts, PROSE_AREAS).where(F.size("matched") > 0).withColumn("matched", F.array_sort("matched"))
+    df = relevance.components(t.texts, PROSE_AREAS).withColumn("matched", F.array_sort("matched"))
     return _rounded(df, "keyword", "semantic", "phrase", "score")
 
 
@@ -415,7 +414,7 @@ def m11(t):
 @query("w7_top_relevant_areas", _REL + """
 SELECT key, cet_id, round(score, 6) AS score, area_rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(score, 6) DESC, cet_id) AS area_rank FROM rel) WHERE area_rank <= 2""")
 def w7r(t):
-    return relevance.top_n(_rounded(relevance.score(t.texts, PROSE_AREAS), "score"), 2)
+    return relevance.top_areas(t.texts, 2, PROSE_AREAS, digits=6)
 
 
 # --- fallback and classification of awards ---------------------------------------------------

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fx
 
 
-def read_csv_text(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
-    """Every column as string. ``multiline`` allows line breaks inside quotes but keeps a file in one task;
-    turn it off for large files without such breaks so that they split."""
+def read_csv_text(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
+    """Every column as string. Files are split by lines; ``multiline`` allows line breaks inside quotes, but then a file
+    is one task."""
     raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, quote='"', escape='"')
     return raw.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
 
@@ -42,12 +42,12 @@ def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
 
 
 def read_award_csv(
-    spark: SparkSession, path: str | list[str], required: Iterable[str] = fx.BOOTSTRAP_REQUIRED, multiline: bool = True
+    spark: SparkSession, path: str | list[str], required: Iterable[str] = fx.BOOTSTRAP_REQUIRED, multiline: bool = False
 ) -> DataFrame:
     return require_columns(canonical_columns(read_csv_text(spark, path, multiline)), required)
 
 
-def read_yearly_csv(spark: SparkSession, directory: str, multiline: bool = True) -> DataFrame:
+def read_yearly_csv(spark: SparkSession, directory: str, multiline: bool = False) -> DataFrame:
     """Unpacked yearly archive: the twelve fixed columns under their canonical names."""
     raw = require_columns(read_csv_text(spark, f"{directory.rstrip('/')}/*.csv", multiline), fx.YEARLY_REQUIRED)
     return raw.withColumnsRenamed(

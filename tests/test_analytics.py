@@ -113,12 +113,12 @@ def test_tfidf_vectors_equal_the_long_form(spark, examples):
     cfg = ft.TextConfig(ngrams=(1, 2), max_features=100)
     vec = ft.fit_vectoriser(examples, cfg)
     vocab = ft.vocabulary(ft.term_statistics(examples, cfg), 90, cfg)
-    long = {(r.key, r.term): r.weight for r in ft.tfidf_rows(examples, vocab, cfg).collect()}
+    long = {(r.key, r.term): r.weight for r in ft.tfidf_rows(ft.term_counts(examples, cfg), vocab).collect()}
     for r in vec.transform(examples).select("key", "features").collect():
         got = {(r.key, vec.names[i]): v for i, v in zip(r.features.indices.tolist(), r.features.values.tolist())}
         assert got == pytest.approx({k: v for k, v in long.items() if k[0] == r.key})
     assert not any("research" in n for n in vec.names)
-    chi = {r.term: r.chi2 for r in ft.chi2_rows(ft.tfidf_rows(examples, vocab, cfg), examples).collect()}
+    chi = {r.term: r.chi2 for r in ft.chi2_rows(ft.tfidf_rows(ft.term_counts(examples, cfg), vocab), examples).collect()}
     labelled = vec.transform(examples)
     assert dict(zip(vec.names, ft.chi2_vector(labelled).tolist())) == pytest.approx(chi)
 
@@ -152,3 +152,34 @@ def test_experiment_splits_in_order(spark, examples):
     train, test = cf.ordered_split(examples, "key", 50)
     assert (train.count(), test.count()) == (45, 45)
     assert train.agg(F.max("key")).first()[0] < test.agg(F.min("key")).first()[0]
+
+
+def test_every_class_of_three_is_in_every_training_part(spark):
+    rows = [(f"{s}-{label}-{k}", float(label), s) for s in range(60) for label, n in ((0, 11), (1, 7), (2, 3)) for k in range(n)]
+    df = spark.createDataFrame(rows, "key string, label_index double, s int")
+    for s in range(0, 60, 12):
+        part = cf.stratified_folds(df.where(f"s = {s}"), 3).collect()
+        for label, n in ((0, 11), (1, 7), (2, 3)):
+            sizes = sorted(sum(r["fold"] == f and r["label_index"] == label for r in part) for f in range(3))
+            assert sum(sizes) == n and sizes[-1] - sizes[0] <= 1
+
+
+def test_calibration_equals_a_separate_fit(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    rows = [(f, float(c), [rng.gauss(1.5 if c == k else -1.0, 1.0) for k in range(3)]) for f in range(2) for c in range(3) for _ in range(40)]
+    df = spark.createDataFrame(rows, "fold int, label_index double, margins array<double>")
+    sizes = {(f, p): (40, 80) for f in range(2) for p in range(3)}
+    got = cf._platt(df, [(p, p) for p in range(3)], sizes)
+    for (f, p), (slope, offset) in got.items():
+        high, low = 41 / 42, 1 / 82
+        g1 = g0 = 0.0
+        for fold, c, m in rows:
+            if fold == f:
+                q = 1 / (1 + math.exp(-(slope * m[p] + offset)))
+                t = high if c == p else low
+                g1 += (q - t) * m[p]
+                g0 += q - t
+        assert abs(g1) < 1e-6 and abs(g0) < 1e-6 and slope > 0

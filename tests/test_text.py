@@ -151,5 +151,5 @@ def test_relevance_of_technical_texts(spark):
         want = python_relevance(text, areas)
         assert {a: got[i, a] for a in want} == pytest.approx(want), text
     assert got[0, "quantum_computing"] >= 0.8
-    scaled = relevance.normalize(relevance.score(df, areas)).groupBy("key").agg(F.sum("score").alias("s")).collect()
+    scaled = relevance.normalized(df, areas).groupBy("key").agg(F.sum("score").alias("s")).collect()
     assert all(r.s == pytest.approx(1.0) or r.s == 0.0 for r in scaled)
