@@ -8,10 +8,10 @@ elements that remain on either side cannot reach the overlap its set sizes ask f
 Bringing together is exact. With similarity num/den, two sets of sizes a and b differ in at most
 H = (a + b)(den - num)/(den + num) elements. The hash range is cut into more than H equal segments, so at least one
 segment is the same in both; sets with an equal segment meet under its hash. Segment counts depend on a size class; a
-set takes part in its own class and in the next. A sixth more segments than that, the spare ones, allow those with fewer
-than two elements, which say little, to be left out (a set with more of them than spares uses all its segments), and ask
-for more than one meeting: a similar pair shares at least 1 + spare segments, so a set that meets others in fewer has no
-partner and goes. That removes what shares a passage or a frequent line only.
+set takes part in its own class and in the next. A third more segments than that, the spare ones, allow empty segments,
+which say nothing, to be left out (a set with more of them than spares uses all its segments), and ask for more than one
+meeting: a similar pair shares at least 1 + spare segments, so a set that meets others in fewer has no partner and goes.
+That removes what shares a passage or a frequent line only.
 
 Equal sets are reduced to one before, and inside a group a set is compared with a component only until its first link:
 components need no more, so a group of n near copies takes about n comparisons. Groups above ``group_elements``
@@ -65,7 +65,7 @@ class Segments:
         differ = 2 * (self.low[k + 1] - 1) * (self.den - self.num) // (self.den + self.num)
         if not differ:
             return 0, 0
-        spare = 1 + differ // 6
+        spare = 1 + differ // 3
         return differ + 1 + spare, spare
 
     def keys(self, items: np.ndarray) -> list[tuple[np.ndarray, int]]:
@@ -81,11 +81,11 @@ class Segments:
                 continue
             at = ((items >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             edges = np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
-            keep = np.diff(edges) > 1
-            poor = int(np.count_nonzero(~keep))
-            # equal segments number 1 + spare or more; a partner may leave out its poor ones, at most spare
-            least = 1 + spare - poor
-            if poor > spare:
+            keep = np.diff(edges) > 0
+            empty = int(np.count_nonzero(~keep))
+            # equal segments number 1 + spare or more; a partner may leave out its empty ones, at most spare
+            least = 1 + spare - empty
+            if empty > spare:
                 keep[:] = True
                 least = 1
             tag = np.arange(parts, dtype=np.uint64) + np.uint64(k << 40)
@@ -298,6 +298,26 @@ def _meetings(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return left.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(meet, "doc long, first long").distinct()
 
 
+def _merged(groups: DataFrame, rounds: int = 3) -> DataFrame:
+    """``groups`` (first, doc, n) with fewer of them, in which all that shared a group still do.
+
+    The first document of a group is often a member of an earlier group that holds most of the others as well, as where
+    many near copies lie; such a group joins the earlier one. Only ids are moved, in work linear in the memberships.
+    """
+    for _ in range(rounds):
+        parent = groups.filter("first < doc").groupBy(F.col("doc").alias("first")).agg(F.min("first").alias("parent"))
+        tagged = groups.join(parent, "first")
+        inside = tagged.join(groups.select(F.col("first").alias("parent"), "doc"), ["parent", "doc"]).groupBy("first").agg(F.count("*").alias("both"))
+        sizes = tagged.groupBy("first", "parent").agg(F.count("*").alias("size"))
+        move = sizes.join(inside, "first").filter("2 * both >= size").select("first", "parent").checkpoint()
+        if move.isEmpty():
+            break
+        further = move.select(F.col("first").alias("parent"), F.col("parent").alias("to"))
+        move = move.join(further, "parent", "left").select("first", F.coalesce("to", "parent").alias("to"))
+        groups = groups.join(move, "first", "left").select(F.coalesce("to", "first").alias("first"), "doc", "n").distinct().checkpoint()
+    return groups
+
+
 def _groups(members: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) within each (first, shard) of ``members`` (first, shard, doc, known, items)."""
 
@@ -347,10 +367,16 @@ def join(docs: DataFrame, *, size: int = 4, num: int = 85, den: int = 100, group
     left, right = same.select(F.col("doc_id").alias("doc"), F.col("rep").alias("a"), "n"), same.select(F.col("doc_id").alias("first"), F.col("rep").alias("b"))
     pairs = met.join(left, "doc").join(right, "first").filter("a <> b").select(F.col("b").alias("first"), F.col("a").alias("doc"), "n").distinct().checkpoint()
 
-    sized = pairs.groupBy("first").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / group_elements)).cast("int").alias("shards"))
-    members = pairs.join(sized, "first").select("first", "doc", "shards", F.pmod(F.xxhash64("doc"), F.col("shards").cast("long")).cast("int").alias("shard"))
-    heads = sized.select("first", F.col("first").alias("doc"), "shards", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    members = members.unionByName(heads).checkpoint()
+    sizes = same.filter("doc_id = rep").select(F.col("doc_id").alias("doc"), "n")
+    heads = pairs.select(F.col("first").alias("doc")).distinct().join(sizes, "doc").select(F.col("doc").alias("first"), "doc", "n")
+    groups = _merged(pairs.unionByName(heads))
+
+    sized = groups.groupBy("first").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / group_elements)).cast("int").alias("shards"))
+    members = groups.join(sized, "first").select("first", "doc", "shards", F.pmod(F.xxhash64("doc"), F.col("shards").cast("long")).cast("int").alias("shard"))
+    # every shard of a split group holds its first set
+    split = sized.filter("shards > 1")
+    extra = split.select("first", F.col("first").alias("doc"), "shards", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    members = members.unionByName(extra).distinct().checkpoint()
 
     # written, so that Spark knows the size of the list when it picks the join
     path = scratch_path(docs.sparkSession, "ngram-sets")

@@ -13,7 +13,6 @@ packed each on their own; an empty table gives no rows; other columns are ignore
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -30,8 +29,6 @@ END = 0
 CACHE_WORDS = 600_000
 #: Characters that Python takes for white space and the tokenizer doesn't.
 _ODD = "\x1c\x1d\x1e\x1f"
-#: A full stop or comma between a letter or number and white space is always a part of its own.
-_STOP = re.compile(r"(?<=[^\W_])([.,])(?=\s|$)")
 
 
 class Encoder:
@@ -51,17 +48,31 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
 
+    def _put(self, word: str, ids) -> None:
+        k = len(self.known)
+        if k == len(self.starts):
+            self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[k], self.sizes[k] = self.used, len(ids)
+        self.known[word] = k
+        self.used += len(ids)
+
+    def _of(self, word: str) -> np.ndarray:
+        k = self.known[word]
+        return self.flat[self.starts[k] : self.starts[k] + self.sizes[k]]
+
     def _add(self, words: list[str]) -> None:
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids, k = got.ids, len(self.known)
-            if k == len(self.starts):
-                self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[k], self.sizes[k] = self.used, len(ids)
-            self.known[word] = k
-            self.used += len(ids)
+        """Ids of new words. A full stop or comma that ends a word after a letter or number is a part of its own, so such
+        a word is put together from its two parts."""
+        stopped = [w for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalnum()]
+        parts = {w[:-1] for w in stopped} | {".", ","} | set(words).difference(stopped)
+        fresh = sorted(parts.difference(self.known))
+        for word, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self._put(word, got.ids)
+        for word in stopped:
+            self._put(word, np.concatenate((self._of(word[:-1]), self._of(word[-1]))))
 
     def ids(self, text: str) -> np.ndarray:
         if any(c in text for c in _ODD):
@@ -73,7 +84,7 @@ class Encoder:
             text = text.encode("latin-1").decode("latin-1").lower()
         except UnicodeEncodeError:
             pass
-        words = _STOP.sub(r" \1", text).split()
+        words = text.split()
         if new := set(words).difference(self.known):
             self._add(sorted(new))
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
