@@ -25,22 +25,33 @@ from . import common
 
 CAPACITY = 2048
 END = 0
-#: Words kept with their ids in a Python worker before its cache starts anew.
-CACHE_WORDS = 600_000
+#: Words kept with their ids in a task before its cache starts anew. The cache goes with the task: Spark keeps Python
+#: workers, and what a worker holds on to is missing for later stages.
+CACHE_WORDS = 400_000
 #: Characters that Python takes for white space and the tokenizer doesn't.
 _ODD = "\x1c\x1d\x1e\x1f"
 
 
-class Encoder:
-    """Ids of texts by a tokenizer file. Words between white space are encoded on their own, each distinct one once:
-    the tokenizer's normaliser and splitter never look across white space."""
+_TOKENIZERS: dict = {}
 
-    def __init__(self, path: str):
+
+def tokenizer(path: str):
+    """The worker's tokenizer of this file."""
+    if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        _TOKENIZERS[path] = Tokenizer.from_file(path)
+        _TOKENIZERS[path].encode_special_tokens = True
+    return _TOKENIZERS[path]
+
+
+class Encoder:
+    """Ids of texts by a tokenizer file. Words between white space are encoded on their own, each distinct one once:
+    the tokenizer's normaliser and splitter never look across white space. The cache lives as long as the encoder."""
+
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
         self.clear()
 
     def clear(self) -> None:
@@ -94,16 +105,6 @@ class Encoder:
         return self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of this file; its cache outlives the task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def tokenised(docs: DataFrame, path: str, *, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the pieces of every document's ids, end id included. A narrow map."""
 
@@ -113,7 +114,7 @@ def tokenised(docs: DataFrame, path: str, *, capacity: int = CAPACITY) -> DataFr
             part = ids[start : start + capacity]
             yield doc_id, piece, start, len(part), zlib.crc32(part.tobytes())
 
-    return common.map_rows(docs, cut, ["doc_id", "text"], "doc_id long, piece int, start long, length long, ids_crc32 long", setup=lambda: encoder(path))
+    return common.map_rows(docs, cut, ["doc_id", "text"], "doc_id long, piece int, start long, length long, ids_crc32 long", setup=lambda: Encoder(path))
 
 
 def filling(counts: np.ndarray, lengths: list[int], room: int, *, nodes: int = 4000) -> list[int]:
