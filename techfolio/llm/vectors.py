@@ -4,8 +4,10 @@ Vectors are normalised, equal ones reduced to one, and each is assigned to its n
 shard although clusters have borders. Every shard builds a flat graph: robust pruning keeps, among a vector's nearest
 and some random candidates, those that no kept neighbour is closer to. The adjacency lists that a vector has in its
 shards are united; each shard then searches its united graph from its medoids for every member: greedily to the nearest
-vectors, then on through all that lie within the range. Hits are verified in double precision. An audit compares a
-sample of queries with brute force over all vectors; while recall is too low the overlap is doubled.
+vectors, then on through all that lie within the range. Hits are verified in double precision. An audit compares
+queries with brute force over all vectors, more and more until enough of them are linked; while recall is too low the
+overlap is doubled. Where links are too rare to be met within 16,384 queries of a larger table, recall counts as not
+measured: a warning says so, and the overlap is 8 at least.
 
 A shard is bounded: a cluster above ``shard_size`` is dealt into parts, and each pair of parts is a shard. A pair that
 several shards hold is counted by the first of them, so counts need no list of pairs.
@@ -17,6 +19,7 @@ empty table gives no rows; labels and other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +29,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
+log = logging.getLogger(__name__)
+
 #: Rows of the sample that centroids are learned from; every row is assigned to them afterwards.
 SAMPLE = 16384
+#: Linked queries that the audit of the recall takes, and the number of links that are few.
+LINKED, FEW = 256, 8
+#: Least overlap where the audit saw too few linked queries to measure a recall.
+UNMEASURED = 8
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -281,31 +290,52 @@ def _searched(members: DataFrame, adjacency: DataFrame, least: float) -> DataFra
     return full.select("shard", "vec", "x", "copies", "shards", "near").mapInArrow(search, "vec long, links long, least long")
 
 
-def audit(reps: DataFrame, found: DataFrame, least: float, *, queries: int = 256) -> float:
-    """Share of all links of a sample of queries that ``found`` (vec, links) has; the sample is compared with every
-    vector, block by block. 1 if the sample has no links."""
-    sample = reps.withColumn("h", F.xxhash64("vec")).orderBy("h").limit(queries).select("vec", "x").collect()
-    if not sample:
-        return 1.0
-    names = np.array([r["vec"] for r in sample], np.int64)
-    shared = reps.sparkSession.sparkContext.broadcast((names, unit(np.stack([np.frombuffer(r["x"], np.float32) for r in sample]))))
+def true_links(reps: DataFrame, least: float, *, queries: int = 256, linked: int = LINKED, most: int = SAMPLE) -> tuple[dict[int, int], bool]:
+    """(vector: number of its links) for the linked ones of a sample by hash, and whether that is a measure of the table.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        total = np.zeros(len(ids), np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                vec = batch.column("vec").to_numpy()
-                hit = unit(np.stack([np.frombuffer(v, np.float32) for v in batch.column("x").to_pylist()])) @ q.T >= least
-                hit &= vec[:, None] != ids[None, :]
-                total += (hit * batch.column("copies").to_numpy()[:, None]).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["vec", "n"])
-
-    true = {r["vec"]: r["n"] for r in reps.select("vec", "x", "copies").mapInArrow(count, "vec long, n long").groupBy("vec").agg(F.sum("n").alias("n")).collect()}
-    wanted = reps.sparkSession.createDataFrame([(int(v),) for v in names], "vec long")
+    The queries are compared with every vector, block by block. The sample is made four times as large until it has
+    ``linked`` linked queries, all vectors, or ``most``. It is no measure if it ends with fewer and is not the table.
+    """
+    spark = reps.sparkSession
+    sample = reps.withColumn("h", F.xxhash64("vec")).orderBy("h", "vec").limit(most + 1).select("vec", "x").collect()
+    whole, sample = len(sample) <= most, sample[:most]
+    true: dict[int, int] = {}
+    done, upto = 0, queries
+    while done < len(sample) and len(true) < linked:
+        part = sample[done:upto]
+        shared = spark.sparkContext.broadcast((np.array([r["vec"] for r in part], np.int64), unit(np.stack([np.frombuffer(r["x"], np.float32) for r in part]))))
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            total = np.zeros(len(ids), np.int64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                vec, copies = batch.column("vec").to_numpy(), batch.column("copies").to_numpy()
+                x = unit(np.stack([np.frombuffer(v, np.float32) for v in batch.column("x").to_pylist()]))
+                for low in range(0, len(ids), 512):
+                    s = slice(low, low + 512)
+                    row, query = np.nonzero(x @ q[s].T >= least)
+                    other = vec[row] != ids[s][query]
+                    np.add.at(total[s], query[other], copies[row[other]])
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some])], ["vec", "n"])
+
+        true |= {r["vec"]: r["n"] for r in reps.select("vec", "x", "copies").mapInArrow(count, "vec long, n long").groupBy("vec").agg(F.sum("n").alias("n")).collect()}
+        done, upto = upto, upto * 4
+    return true, len(true) >= linked or (whole and done >= len(sample))
+
+
+def audit(true: dict[int, int], found: DataFrame) -> float:
+    """Mean share of its links that ``found`` (vec, links) has of a query of ``true``: the lower one of the mean of the
+    queries with at most ``FEW`` links and that of the others, so that a hot spot does not outweigh isolated pairs. 1 if
+    there are no queries."""
+    if not true:
+        return 1.0
+    wanted = found.sparkSession.createDataFrame([(int(v),) for v in true], "vec long")
     got = {r["vec"]: r["links"] for r in found.join(F.broadcast(wanted), "vec").select("vec", "links").collect()}
-    total = sum(true.values())
-    return sum(min(got.get(v, 0), n) for v, n in true.items()) / total if total else 1.0
+    shares = {few: [min(got.get(v, 0), n) / n for v, n in true.items() if (n <= FEW) == few] for few in (True, False)}
+    return min(float(np.mean(each)) for each in shares.values() if each)
 
 
 def near_duplicates(table: DataFrame, *, least: float = 0.95, overlap: int = 2, shard_size: int = 1500, recall: float = 0.95) -> DataFrame:
@@ -333,11 +363,15 @@ def near_duplicates(table: DataFrame, *, least: float = 0.95, overlap: int = 2,
     sample = [r["x"] for r in packed.withColumn("h", F.xxhash64("vec")).orderBy("h").limit(SAMPLE).select("x").collect()]
     if total:
         centres = learn_centroids(unit(np.stack([np.frombuffer(v, np.float32) for v in sample])), max(1, min(SAMPLE // 4, -(-total * 2 // shard_size))))
+        true, measured = true_links(packed, least)
+        if not measured:
+            log.warning("recall of vector links is judged by %d linked queries among %d only: overlap is at least %d", len(true), SAMPLE, UNMEASURED)
+            overlap = max(overlap, UNMEASURED)
         while True:
             members = _assigned(packed, centres, overlap, shard_size).checkpoint()
             found = _searched(members, _adjacency(members), least).checkpoint()
             links = found.groupBy("vec").agg(F.sum("links").alias("links")).checkpoint()
-            if audit(packed, links, least) >= recall or overlap >= len(centres):
+            if audit(true, links) >= recall or overlap >= len(centres):
                 break
             overlap *= 2
         joined = common.components(found.filter("vec <> least").select(F.col("vec").alias("a"), F.col("least").alias("b")))
