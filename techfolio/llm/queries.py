@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, html_main, langid, licenses, ngram_join, packing, quality_zstd, rules_learn, secrets, vectors
+from . import bpe, common, html_main, langid, licenses, ngram_join, packing, pieces, quality_zstd, rules_learn, secrets, vectors
 
 def tokenizer_file(name: str) -> str:
     """Place of a vocabulary of the installed public tokenizers."""
@@ -116,3 +116,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     judged = rules_learn.judge(rules_learn.statistics(docs), rules_learn.learn(docs, labels))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("rule").cast("long").alias("rule"))
+
+
+@_query
+def op12_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(common.table(spark, sf_dir, "documents"), lambda: tokenizer_file("piece_bpe_32k.model"))
