@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, html_main, langid, licenses, ngram_join, packing, pieces, quality_zstd, rules_learn, secrets, vectors
+from . import alignment, bpe, common, html_main, langid, licenses, ngram_join, packing, pieces, quality_zstd, rules_learn, secrets, vectors
 
 def tokenizer_file(name: str) -> str:
     """Place of a vocabulary of the installed public tokenizers."""
@@ -121,3 +121,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op12_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(common.table(spark, sf_dir, "documents"), lambda: tokenizer_file("piece_bpe_32k.model"))
+
+
+@_query
+def op13_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    a, b = (lambda: tokenizer_file("byte_bpe_50k.json")), (lambda: tokenizer_file("piece_bpe_32k.model"))
+    return alignment.align(common.table(spark, sf_dir, "documents"), a, b, PATTERN)
