@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, common, html_main, langid, licenses, ngram_join, packing, pieces, quality_zstd, rules_learn, secrets, vectors
+from . import alignment, bpe, common, html_main, langid, lexical, licenses, ngram_join, packing, pieces, quality_zstd, rules_learn, secrets, vectors
 
 def tokenizer_file(name: str) -> str:
     """Place of a vocabulary of the installed public tokenizers."""
@@ -118,6 +118,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("rule").cast("long").alias("rule"))
 
 
+@_query
+def op11_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_best_position"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY 1, 2),
+k AS (SELECT t, CAST(floor(1000 * ln((2 * g.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g WHERE t IN (SELECT t FROM q) GROUP BY t, g.n),
+m AS (SELECT r, doc_id, 50 + (50 * len(w) * g.n) // g.l AS m FROM d, g WHERE len(w) > 0),
+s AS (SELECT item_id, r, doc_id, CAST(sum(k.w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN k USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY 1, 2, 3),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS INT) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50"""
+
+
 @_query
 def op12_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(common.table(spark, sf_dir, "documents"), lambda: tokenizer_file("piece_bpe_32k.model"))
