@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fx
+from . import csv_records
 
 
-def read_csv_text(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
-    """Every column as string. Files are split by lines; ``multiline`` allows line breaks inside quotes, but then a file
-    is one task."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, quote='"', escape='"')
+def read_csv_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every column as string; records may hold line breaks inside quotes. Large files are split over many tasks."""
+    raw = csv_records.read(spark, path)
     return raw.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
 
 
@@ -41,15 +41,13 @@ def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:
     return df
 
 
-def read_award_csv(
-    spark: SparkSession, path: str | list[str], required: Iterable[str] = fx.BOOTSTRAP_REQUIRED, multiline: bool = False
-) -> DataFrame:
-    return require_columns(canonical_columns(read_csv_text(spark, path, multiline)), required)
+def read_award_csv(spark: SparkSession, path: str | list[str], required: Iterable[str] = fx.BOOTSTRAP_REQUIRED) -> DataFrame:
+    return require_columns(canonical_columns(read_csv_text(spark, path)), required)
 
 
-def read_yearly_csv(spark: SparkSession, directory: str, multiline: bool = False) -> DataFrame:
+def read_yearly_csv(spark: SparkSession, directory: str) -> DataFrame:
     """Unpacked yearly archive: the twelve fixed columns under their canonical names."""
-    raw = require_columns(read_csv_text(spark, f"{directory.rstrip('/')}/*.csv", multiline), fx.YEARLY_REQUIRED)
+    raw = require_columns(read_csv_text(spark, f"{directory.rstrip('/')}/*.csv"), fx.YEARLY_REQUIRED)
     return raw.withColumnsRenamed(
         {"agency_code": "agency", "bureau_code": "sub_agency", "firm": "firm_name", "award_year": "award_date"}
     )
