@@ -10,6 +10,7 @@ from ..operators import classifier as cf
 from ..operators import evaluation as ev
 from ..operators import features as ft
 from ..operators import rules
+from ..operators import solver
 from ..operators import taxonomy as tax
 from .ingest import taxonomy_versions
 from .prose import PROSE_RULES
@@ -80,20 +81,29 @@ def m14(t):
 
 @query("m15_logistic_probabilities")
 def m15(t):
-    model = cf.fit(examples(t), cf.ModelConfig(text=CFG, calibrate=False, partitions=2))
+    model = cf.fit(examples(t), cf.ModelConfig(text=CFG, calibrate=False))
     return model.probabilities(t.texts).select("key", "probabilities")
 
 
 @query("m16_m17_calibrated_predictions")
 def m17(t):
-    model = cf.fit(examples(t), cf.ModelConfig(text=CFG, partitions=2))
+    model = cf.fit(examples(t), cf.ModelConfig(text=CFG))
     return model.predict(t.texts)
 
 
+@query("m16_fits", "SELECT 3 AS fits, 2 AS classes, count(*) AS training_rows, true AS converged FROM labels JOIN documents USING (doc_id)")
+def m16f(t):
+    """Facts of the calibrated fit: every fold's regression ends by its gradient, not by the number of steps."""
+    rows = examples(t)
+    model = cf.fit(rows, cf.ModelConfig(text=CFG))
+    converged = all(f.gradient <= solver.TOLERANCE for f in model.fits)
+    return rows.agg(F.lit(len(model.fits)).alias("fits"), F.lit(len(model.labels)).alias("classes"), F.count(F.lit(1)).alias("training_rows"), F.lit(converged).alias("converged"))
+
+
 @query("w8_primary_and_supporting")
 def w8(t):
     labelled = t.texts.select("key", "text", F.col("agency").alias("label"))
-    model = cf.fit(labelled, cf.ModelConfig(text=CFG, calibrate=False, partitions=2))
+    model = cf.fit(labelled, cf.ModelConfig(text=CFG, calibrate=False))
     return model.predict(t.texts)
 
 
@@ -101,29 +111,48 @@ def _sources(t):
     docs = t.documents.select("doc_id", F.col("text").alias("abstract"), F.concat_ws(" ", "source", "lang").alias("keywords"))
     labels = t.raw("labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("label"))
     bench = t.raw("benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("solicitation"))
-    return docs.join(labels, "doc_id").join(bench, "doc_id", "left").withColumn("key", F.col("doc_id").cast("string"))
+    return docs.join(labels, "doc_id", "left").join(bench, "doc_id", "left").withColumn("key", F.col("doc_id").cast("string"))
+
+
+def _labelled(rows):
+    return rows.where("label IS NOT NULL")
+
 
+def _source_terms(name: str, text: str, budget: int) -> str:
+    """The terms of one source: of the labelled documents the most frequent, and whether a document has one of them."""
+    return rf"""{name}_w AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS fitted, regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM src),
+{name}_g AS (SELECT doc_id, fitted, array_to_string(w[i : i + n - 1], ' ') AS term FROM (SELECT doc_id, fitted, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM {name}_w CROSS JOIN (VALUES (1), (2)) v(n))),
+{name}_v AS (SELECT term FROM {name}_g WHERE fitted GROUP BY 1 ORDER BY count(*) DESC, term LIMIT {budget}),
+{name}_d AS (SELECT DISTINCT doc_id FROM {name}_g WHERE term IN (SELECT term FROM {name}_v))"""
 
-@query("m18_multi_source_features")
+
+_MULTI = cf.SOURCE_WEIGHTS
+_BUDGET = cf.split_budget(10_000, list(_MULTI))
+
+
+@query("m18_multi_source_features", "WITH src AS (SELECT doc_id, d.text AS abstract, concat_ws(' ', source, lang) AS keywords, coalesce(b.text, '') AS solicitation FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id),\n"
+       + ",\n".join(_source_terms(s, s, _BUDGET[s]) for s in _MULTI)
+       + "\nSELECT CAST(src.doc_id AS VARCHAR) AS key, CAST(" + " + ".join(f"(SELECT count(*) FROM {s}_v)" for s in _MULTI) + " AS INT) AS n_features, round(sqrt("
+       + " + ".join(f"CASE WHEN {s}_d.doc_id IS NULL THEN 0 ELSE {w}::DOUBLE * {w}::DOUBLE END" for s, w in _MULTI.items()) + "), 9) AS norm FROM src "
+       + " ".join(f"LEFT JOIN {s}_d ON {s}_d.doc_id = src.doc_id" for s in _MULTI))
 def m18(t):
     rows = _sources(t)
-    sources = cf.fit_multi_source(rows)
-    from pyspark.ml.functions import vector_to_array
-
-    vectors = sources.transform(rows).withColumn("v", vector_to_array("features"))
-    square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
-    return vectors.select("key", F.size("v").alias("n_features"), F.sqrt(square).alias("norm"))
+    vectors = cf.fit_multi_source(_labelled(rows)).transform(rows).withColumn("v", F.unwrap_udt("features"))
+    square = F.aggregate("v.values", F.lit(0.0), lambda acc, x: acc + x * x)
+    # the size of a sparse vector stands in it, that of a dense one is its length
+    size = F.coalesce(F.col("v.size"), F.size("v.values"))
+    return vectors.select("key", size.alias("n_features"), F.round(F.sqrt(square), 9).alias("norm"))
 
 
 @query("m19_multi_source_top_areas")
 def m19(t):
     rows = _sources(t)
-    return cf.fit_multi_source_model(rows).top(rows, 2)
+    return cf.fit_multi_source_model(_labelled(rows)).top(rows, 2)
 
 
 @query("m20_feature_importance")
 def m20(t):
-    return cf.fit_multi_source_model(_sources(t)).importance(t.spark)
+    return cf.fit_multi_source_model(_labelled(_sources(t))).importance(t.spark)
 
 
 _BOOST = "CASE WHEN contains(term, 'th') OR contains(term, 'eaux') THEN 2.0 WHEN contains(term, 'er') THEN 1.5 ELSE 1.0 END::DOUBLE"
@@ -148,7 +177,7 @@ def m23(t):
         c.cast("string").alias("key"), F.col("lang").alias("label"), F.col("text").alias("baseline_text"),
         tx.enriched_text(F.col("text"), description, words).alias("enriched_text"),
     )
-    small = cf.ModelConfig(text=CFG, calibrate=False, partitions=2)
+    small = cf.ModelConfig(text=CFG, calibrate=False)
     return ev.experiment_summary(cf.run_experiment(rows, small))
 
 
