@@ -14,7 +14,7 @@ from public_tokenizers import path
 from techfolio.llm import packing
 
 FILE = path("word_bpe_49k.json")
-ODD = ["It's  the end,we'll see\x1cit\x85don't", "<|endoftext|> foo <|startoftext|>", "é ́x İI ΣΣ ẞ", "\ta\n\nb\r\x0b\x0cc", "'S 'LL x'Re 12 3a4", "   ", "日本語 テキスト。 ﬁ ½", "a. b, c ., d.", "½, x. É, ²."]
+ODD = ["It's  the end,we'll see\x1cit\x85don't", "<|endoftext|> foo <|startoftext|>", "é ́x İI ΣΣ ẞ", "\ta\n\nb\r\x0b\x0cc", "'S 'LL x'Re 12 3a4", "   ", "日本語 テキスト。 ﬁ ½", "a. b, c ., d.", "½, x. É, ².", "Éİ. a İ, \x01 a\x01b"]
 
 
 def test_ids_equal_the_library():
@@ -56,6 +56,56 @@ def test_small_fillings_are_optimal():
         assert sum(got) == max(sums) and all(n <= counts[x] for x, n in Counter(got).items())
 
 
+def fewest(items, capacity):
+    """Least number of sequences, by trying every place for every piece."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(items):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= items[k]}:
+            at = rooms.index(room)
+            go(k + 1, [*rooms[:at], room - items[k], *rooms[at + 1 :]])
+        go(k + 1, [*rooms, capacity - items[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def best_fit_one_by_one(items, capacity):
+    rooms = []
+    for x in sorted(items, reverse=True):
+        fit = [r for r in rooms if r >= x]
+        if fit:
+            rooms.remove(min(fit))
+        rooms.append((min(fit) if fit else capacity) - x)
+    return len(rooms)
+
+
+def test_small_plans_are_optimal():
+    rng = random.Random(10)
+    for _ in range(200):
+        items = [rng.randint(3, 15) for _ in range(rng.randint(1, 10))]
+        assert packing.plan(Counter(items), capacity=20).sequences == fewest(items, 20)
+
+
+def test_never_worse_than_best_fit():
+    rng, better = random.Random(11), 0
+    for k in range(1000):
+        # most of them short, so that the test stays quick
+        items = [rng.randint(300, 1099) for _ in range(rng.randint(20, 80 if k % 10 == 0 else 30))] if k % 2 else [rng.choice([rng.randint(1, 2048), rng.randint(1, 300), 700]) for _ in range(rng.randint(1, 200))]
+        counts = np.bincount(items, minlength=2049)
+        plain = best_fit_one_by_one(items, 2048)
+        assert sum(n for _, n in packing.best_fit(counts)) == plain
+        got = packing.plan(Counter(items)).sequences
+        assert got <= plain
+        better += got < plain
+    assert better > 20
+
+
 def test_packed_rows(spark, docs_of):
     rng = random.Random(3)
     texts = [(k, " ".join(rng.choice(WORDS) for _ in range(rng.choice([3, 40, 900, 2500])))) for k in range(120)]
