@@ -79,8 +79,6 @@ that the their them then there these they thing think this those thread through
 track training transfer travel tree two type under unit universe until update upload use user utility value variable
 vector version very video view village visit volume walk wall want watch water way weather website week well were west
 what when where which while white who width wiki will window winter with word work world would write year young"""
-#: Texts that the spelling of ordinary words is counted on, at most about so many, and characters of each.
-SAMPLE, SAMPLE_CHARS = 20000, 16384
 
 _SPAN = "array<struct<start: int, end: int>>"
 
@@ -161,15 +159,11 @@ def _two_sided(z: Column) -> Column:
 
 
 def letter_counts(docs: DataFrame) -> list[list[float]]:
-    """How often each letter (columns a to z) begins a word (row 0) or follows another (rows a to z), in the words of a
-    sample of ``docs`` (text) by hash and in ``WORDS``. Words are whole runs of letters, too short for candidates."""
-    import math
-
-    text = F.substring("text", 1, SAMPLE_CHARS)
-    share = SAMPLE / max(SAMPLE, docs.count())
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    """How often each letter (columns a to z) begins a word (row 0) or follows another (rows a to z), in the words of all
+    of ``docs`` (text) and in ``WORDS``. Words are whole runs of letters, too short for candidates; each is counted where it
+    is read, and its pairs are counted once for all its places."""
     whole = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,17}+(?![A-Za-z0-9+/_=-])"
-    words = some.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(whole), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(whole), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     pairs = words.select("n", F.explode(F.transform(F.sequence(F.lit(0), F.length("w") - 1), lambda i: F.substring(F.concat(F.lit(" "), "w"), i + 1, F.lit(2)))).alias("pair"))
     counts = [[0.0] * 26 for _ in range(27)]
     found = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
@@ -288,7 +282,8 @@ def battery(docs: DataFrame, column: str = "candidates", costs: list[float] | No
     def p_of(x):
         return F.least(F.lit(1.0), 3 * F.least(_two_sided(x["chi"]), _two_sided(x["turns"]), _two_sided(x["serial"])))
 
-    table = F.expr("array(" + ",".join(f"{c:.6f}D" for c in costs or _costs()) + ")")
+    # one value for the planner, however many numbers it holds
+    table = F.split(F.lit(",".join(f"{c:.6f}" for c in costs or _costs())), ",").cast("array<double>")
     width = len(SYMBOLS)
 
     def cost_of(x):
@@ -401,8 +396,8 @@ def written(rows: Column) -> Column:
 def scan(docs: DataFrame, *, alpha: float = 0.01) -> DataFrame:
     """(doc_id, assign, access, hex, random): the spans of every row of ``docs`` (doc_id, text).
 
-    A sample of the texts gives the spelling of ordinary words. One pass over all leaves spans and p-values, which are checkpointed without the texts; the thresholds then
-    follow from counts by stratum, a bounded number.
+    All texts give the spelling of ordinary words. A second pass leaves spans and p-values, which are checkpointed without
+    the texts; the thresholds then follow from counts by stratum, a bounded number.
     """
     from ..session import ensure_checkpoint_dir
 
@@ -415,8 +410,8 @@ def scan(docs: DataFrame, *, alpha: float = 0.01) -> DataFrame:
 def redact(docs: DataFrame, *, alpha: float = 0.01, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mark``; other columns unchanged, null text stays null.
 
-    Two narrow passes over the texts after the sample, the first for the thresholds: no text is shuffled. Spans that touch or overlap
-    are replaced once.
+    Two narrow passes over the texts after the counts of letters, the first for the thresholds: no text is shuffled. Spans
+    that touch or overlap are replaced once.
     """
     names = docs.columns
     alone = docs.select("text")
