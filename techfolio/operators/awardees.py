@@ -202,33 +202,33 @@ def validate_profiles(profiles: DataFrame, as_of: Column) -> DataFrame:
         text = F.lit(message) if isinstance(message, str) else message
         return F.when(cond, F.struct(F.lit(where).alias("field"), F.lit(severity).alias("severity"), text.alias("message")))
 
-    e, w = "error", "warning"
+    e, w, say = "error", "warning", fx.FINDINGS
     single = [
-        when(uei == "", "uei", e, "UEI is required"),
-        when((uei != "") & ~uei.rlike(r"^[\p{L}\p{N}]+$"), "uei", e, "UEI must contain only alphanumeric characters"),
-        when((uei != "") & (F.length(uei) != 12), "uei", e, "UEI must be 12 characters long"),
-        when(name == "", "legal_name", e, "Business name is required"),
-        when((name != "") & (F.length(name) < 2), "legal_name", e, "Business name is too short"),
-        when(F.length(name) > 150, "legal_name", e, "Business name is too long"),
-        when(F.lower(name).isin(*fx.PLACEHOLDER_NAMES), "legal_name", w, "Business name appears to be a placeholder"),
+        when(uei == "", "uei", e, say["uei_missing"]),
+        when((uei != "") & ~uei.rlike(r"^[\p{L}\p{N}]+$"), "uei", e, say["uei_symbols"]),
+        when((uei != "") & (F.length(uei) != 12), "uei", e, say["uei_length"]),
+        when(name == "", "legal_name", e, say["name_missing"]),
+        when((name != "") & (F.length(name) < 2), "legal_name", e, say["name_short"]),
+        when(F.length(name) > 150, "legal_name", e, say["name_long"]),
+        when(F.lower(name).isin(*fx.PLACEHOLDER_NAMES), "legal_name", w, say["name_placeholder"]),
         when((c("total_awards") > 0) & (F.abs(expected - c("avg_award_amount")) > 1.0), "avg_award_amount", w,
              F.format_string(fx.AVERAGE_MISMATCH, c("avg_award_amount").cast("string"), expected.cast("string"))),
-        when(c("total_funding") > 1_000_000_000, "total_funding", w, "Total funding amount is unusually high"),
-        when(c("avg_award_amount") > 50_000_000, "avg_award_amount", w, "Average award amount is unusually high"),
-        when(c("first_award_date") > c("last_award_date"), "first_award_date", e, "First award date cannot be after last award date"),
-        when(c("first_award_date") > as_of, "first_award_date", w, "First award date is in the future"),
-        when(c("last_award_date") > as_of, "last_award_date", w, "Last award date is in the future"),
-        when(F.year("first_award_date") < 1980, "first_award_date", w, "First award date is unusually old"),
-        when(F.size(areas) > 15, "technology_areas", e, "Too many technology areas (maximum 15)"),
+        when(c("total_funding") > 1_000_000_000, "total_funding", w, say["funding_high"]),
+        when(c("avg_award_amount") > 50_000_000, "avg_award_amount", w, say["average_high"]),
+        when(c("first_award_date") > c("last_award_date"), "first_award_date", e, say["dates_crossed"]),
+        when(c("first_award_date") > as_of, "first_award_date", w, say["first_in_future"]),
+        when(c("last_award_date") > as_of, "last_award_date", w, say["last_in_future"]),
+        when(F.year("first_award_date") < 1980, "first_award_date", w, say["first_old"]),
+        when(F.size(areas) > 15, "technology_areas", e, say["many_areas"]),
         when((c("success_rate") > 0.9) & (c("avg_award_amount") < 10000), "success_rate", w,
-             "High success rate with very low average funding is unusual"),
+             say["success_low_funding"]),
         when((c("total_awards") > 50) & (c("success_rate") > 0.95), "success_rate", w,
-             "Very high success rate with many awards is unusual"),
+             say["success_many_awards"]),
         when((F.size(agencies) == 1) & (c("total_awards") > 10), "primary_agencies", w,
-             "High concentration with single agency might indicate limited diversification"),
-        when(F.size(agencies) == 0, "primary_agencies", w, "No primary agencies specified"),
-        when(F.size(areas) == 0, "technology_areas", w, "No technology areas specified"),
-        when(c("total_awards") == 0, "total_awards", w, "No awards recorded for this awardee"),
+             say["one_agency"]),
+        when(F.size(agencies) == 0, "primary_agencies", w, say["no_agencies"]),
+        when(F.size(areas) == 0, "technology_areas", w, say["no_areas"]),
+        when(c("total_awards") == 0, "total_awards", w, say["no_awards"]),
     ]
 
     def unknown(values: Column, known: Sequence[str], where: str, label: str) -> Column:

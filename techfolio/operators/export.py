@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .portfolio import Filters, classified, taxonomy_version
@@ -84,8 +84,22 @@ def run_manifest(rows: DataFrame, score_columns: Sequence[str], parameters: dict
     )
 
 
+def write_observed(rows: DataFrame, path: str, score_columns: Sequence[str], parameters: dict[str, str]) -> DataFrame:
+    """Write ``rows`` as Parquet and append the manifest of ``run_manifest`` beside them; the counts are observed by the write
+    itself, so the rows are worked out once. Returns the manifest."""
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("row_count"), *[F.count(c).alias(f"{c}_count") for c in score_columns]]
+    rows.observe(seen, *counts).write.mode("overwrite").parquet(f"{path}/rows")
+    values = {"row_count": 0} | {f"{c}_count": 0 for c in score_columns} | seen.get
+    names = ["row_count", *[f"{c}_count" for c in score_columns], *parameters]
+    schema = ", ".join(f"`{n}` {'string' if n in parameters else 'long'}" for n in names)
+    manifest = rows.sparkSession.createDataFrame([tuple((values | parameters)[n] for n in names)], schema)
+    append_manifest(manifest, f"{path}/manifests")
+    return manifest
+
+
 def append_manifest(manifest: DataFrame, path: str) -> None:
     manifest.write.mode("append").json(path)
 
 
-__all__ = ["append_manifest", "build", "controlled_count", "metadata", "run_manifest", "taxonomy_version", "weights", "without_controlled", "write"]
+__all__ = ["append_manifest", "build", "controlled_count", "metadata", "run_manifest", "taxonomy_version", "weights", "without_controlled", "write", "write_observed"]

@@ -237,7 +237,18 @@ def s8m(t):
     return t.spark.read.schema(record.schema).json(f"{path}/metadata")
 
 
-@query("s9_run_manifest", ctes("classified_all") + "SELECT count(*) AS row_count, count(score) AS score_count, count(primary_cet_id) AS primary_cet_id_count, '0.3' AS hybrid_weight FROM classified_all")
+@query("s8_export_parquet", ctes("classified") + _EXPORT)
+def s8p(t):
+    rows, record = ex.build(t.awards, t.assessments, AREAS, FILTERS)
+    path = scratch_path(t.spark, "export")
+    ex.write(rows, record, path)
+    return t.spark.read.parquet(f"{path}/rows").select(*_EXPORT_COLS)
+
+
+_MANIFEST = ctes("classified_all") + "SELECT count(*) AS row_count, count(score) AS score_count, count(primary_cet_id) AS primary_cet_id_count, '0.3' AS hybrid_weight FROM classified_all"
+
+
+@query("s9_run_manifest", _MANIFEST)
 def s9(t):
     from ..operators.portfolio import classified
 
@@ -246,3 +257,12 @@ def s9(t):
     record = ex.run_manifest(rows, ["score", "primary_cet_id"], {"hybrid_weight": "0.3"})
     ex.append_manifest(record, path)
     return t.spark.read.schema(record.schema).json(path)
+
+
+@query("s9_observed_manifest", _MANIFEST)
+def s9o(t):
+    from ..operators.portfolio import classified
+
+    path = scratch_path(t.spark, "observed")
+    record = ex.write_observed(classified(t.awards, t.assessments, ALL_YEARS), path, ["score", "primary_cet_id"], {"hybrid_weight": "0.3"})
+    return t.spark.read.schema(record.schema).json(f"{path}/manifests")
