@@ -31,13 +31,13 @@ def _cell_of(value: Column, cuts: Column, many: int) -> Column:
     return whole + F.size(F.filter(F.slice(cuts, whole + 1, F.lit(step)), lambda c: c < value))
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], cells: int = 256, levels: int = 1) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], buckets: int = 256, levels: int = 1) -> DataFrame:
     """Linear-interpolated percentiles per key without gathering a key's values in one task.
 
     Equal values are counted first. A quantile sketch of each key's distinct values gives cut points, so that a cell between
-    two of them holds about one in ``cells`` of the values however they are spread; exact counts tell which
+    two of them holds about one in ``buckets`` of the values however they are spread; exact counts tell which
     cells hold the wanted ranks. Their values are cut again for each further one of ``levels``, then ordered: a task
-    orders about one in ``cells ** levels`` of a key's distinct values. The sketch only chooses the cuts, results are
+    orders about one in ``buckets ** levels`` of a key's distinct values. The sketch only chooses the cuts, results are
     exact. One column per name in ``probs``; null values are ignored, keys without values give no row.
     """
     keys = list(keys)
@@ -54,9 +54,9 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     path = ["g"]
     for level in range(levels):
         cell = f"cell{level}"
-        shares = constant([k / cells for k in range(1, cells)])
-        cuts = placed.groupBy(*path).agg(F.percentile_approx("v", shares, 10 * cells).alias("cuts"))
-        celled = placed.join(cuts, path).withColumn(cell, _cell_of(F.col("v"), F.col("cuts"), cells)).drop("cuts")
+        shares = constant([k / buckets for k in range(1, buckets)])
+        cuts = placed.groupBy(*path).agg(F.percentile_approx("v", shares, 10 * buckets).alias("cuts"))
+        celled = placed.join(cuts, path).withColumn(cell, _cell_of(F.col("v"), F.col("cuts"), buckets)).drop("cuts")
         running = Window.partitionBy(*path).orderBy(cell).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         by_cell = celled.groupBy(*path, cell).agg(F.sum("n").alias("inside"), F.max("total").alias("total"), F.max("before").alias("before"))
         by_cell = by_cell.withColumn("upto", F.col("before") + F.sum("inside").over(running))

@@ -19,13 +19,13 @@ def test_equals_a_sort(spark, cells, levels):
     rows = [("a", rng.gauss(0, 1)) for _ in range(400)] + [("a", 1e12)] + [("b", float(rng.randint(0, 3))) for _ in range(200)]
     rows += [("c", 7.0), (None, 1.0), (None, 2.0), ("d", None)] + [("e", -1e300), ("e", 1e300)]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r["k"]: r for r in ranking.exact_percentiles(df, ["k"], "v", PROBS, cells=cells, levels=levels).collect()}
+    got = {r["k"]: r for r in ranking.exact_percentiles(df, ["k"], "v", PROBS, buckets=cells, levels=levels).collect()}
     assert set(got) == {"a", "b", "c", "e", None}
     for key in got:
         values = [v for k, v in rows if k == key]
         for name, p in PROBS.items():
             assert got[key][name] == pytest.approx(float(np.percentile(values, 100 * p)), rel=1e-12), (key, name)
-    assert ranking.exact_percentiles(df, [], "v", {"m": 0.5}, cells=cells, levels=levels).count() == 1
+    assert ranking.exact_percentiles(df, [], "v", {"m": 0.5}, buckets=cells, levels=levels).count() == 1
     assert ranking.exact_percentiles(df.limit(0), ["k"], "v", PROBS).count() == 0
 
 
