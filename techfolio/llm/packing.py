@@ -30,7 +30,7 @@ CAPACITY = 2048
 END = 0
 #: Words kept with their ids in a task before its cache starts anew. The cache goes with the task: Spark keeps Python
 #: workers, and what a worker holds on to is missing for later stages.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Characters that Python takes for white space and the tokenizer doesn't.
 _ODD = "\x1c\x1d\x1e\x1f"
 
@@ -118,10 +118,15 @@ class Encoder:
     the tokenizer's normaliser and splitter never look across white space. The cache lives as long as the encoder."""
 
     def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
+        self.path = path
         self.ranks = word_ranks(path)
         self.clear()
 
+    @property
+    def tokenizer(self):
+        """The library's tokenizer. It takes memory in every worker, so it is read only where a word needs it."""
+        return tokenizer(self.path)
+
     def clear(self) -> None:
         self.known: dict[str, bytes] = {}  # little-endian 32-bit ids
 

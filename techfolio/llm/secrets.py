@@ -410,16 +410,18 @@ def scan(docs: DataFrame, *, alpha: float = 0.01) -> DataFrame:
 def redact(docs: DataFrame, *, alpha: float = 0.01, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``mark``; other columns unchanged, null text stays null.
 
-    Two narrow passes over the texts after the counts of letters, the first for the thresholds: no text is shuffled. Spans
-    that touch or overlap are replaced once.
+    One narrow pass over the texts after the counts of letters: rows and their tested candidates are checkpointed, the
+    thresholds follow from the candidates, and no text is shuffled. Spans that touch or overlap are replaced once.
     """
+    from ..session import ensure_checkpoint_dir
+
     names = docs.columns
-    alone = docs.select("text")
-    costs = _costs(letter_counts(alone))
-    cuts = both_thresholds(battery(spans(alone), costs=costs), alpha)
+    ensure_checkpoint_dir(docs.sparkSession)
+    costs = _costs(letter_counts(docs.select("text")))
     # the caller's columns may have any names, so they travel in one struct
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text"))
-    found = with_random(battery(spans(rows), costs=costs), cuts).withColumn("_spans", listed())
+    tested = battery(spans(rows), costs=costs).checkpoint()
+    found = with_random(tested, both_thresholds(tested, alpha)).withColumn("_spans", listed())
 
     def step(a, x):
         # what lies between the end of the last span and this one is kept, then the mark
