@@ -26,7 +26,7 @@ from . import common
 UNDETERMINED = "und"
 #: Trigrams fall into so many cells; the model has one weight per language and cell.
 CELLS = 1 << 15
-#: A text longer than this many characters is counted piece by piece.
+#: So many trigrams are hashed at once.
 PIECE = 1 << 20
 
 
@@ -35,25 +35,32 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def trigram_cells(text: str) -> np.ndarray:
-    """Cell of each trigram of the lower-cased letters of ``text``, runs of other characters read as one space."""
+def letter_codes(text: str) -> np.ndarray:
+    """Code points of the lower-cased letters of ``text``, runs of other characters (and both ends) read as one space."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[code]
     if not letter.any():
-        return np.empty(0, np.int64)
-    code = np.where(letter, code, 32)
+        return np.empty(0, np.uint32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    code = np.concatenate(([32], code[keep], [32])).astype(np.uint64)
+    space = np.array([32], np.uint32)
+    return np.concatenate((space, np.where(letter, code, space)[keep], space))
+
+
+def trigram_cells(code: np.ndarray) -> np.ndarray:
+    """Cell of each three neighbours of ``code``."""
+    code = code.astype(np.uint64)
     h = (code[:-2] * np.uint64(0x9E3779B97F4A7C15) + code[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) + code[2:]
     h *= np.uint64(0x94D049BB133111EB)
     return (h >> np.uint64(64 - 15)).astype(np.int64)
 
 
 def cell_counts(text: str) -> np.ndarray:
+    """Trigrams of the whole text by cell; pieces of a long one share two letters, so none is lost or made up."""
+    code = letter_codes(text)
     counts = np.zeros(CELLS, np.int64)
-    for low in range(0, len(text), PIECE):
-        counts += np.bincount(trigram_cells(text[low : low + PIECE]), minlength=CELLS)
+    for low in range(0, len(code) - 2, PIECE):
+        counts += np.bincount(trigram_cells(code[low : low + PIECE + 2]), minlength=CELLS)
     return counts
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from conftest_llm import by_id
 from pyspark.sql import functions as F
 
@@ -33,3 +36,24 @@ def test_nothing_to_learn(spark, docs_of):
     assert model.langs == ()
     assert by_id(langid.predict(docs_of({1: "some text"}), model))[1]["lang_pred"] == "und"
     assert langid.predict(docs_of({}), model).count() == 0
+
+
+def test_pieces_count_every_trigram_once(monkeypatch):
+    text = "Überall, wo 42 Füße -- gehen; straße " * 40 + "ΟΔΟΣ ende"
+    flat = " " + re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0][0].isalpha() else " ", text.lower(), flags=re.S) + " "
+    flat = re.sub(" +", " ", flat)
+    plain = np.zeros(langid.CELLS, np.int64)
+    for k in range(len(flat) - 2):
+        plain[langid.trigram_cells(np.array([ord(c) for c in flat[k : k + 3]], np.uint32))] += 1
+    for piece in (1, 2, 7, 1 << 20):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert (langid.cell_counts(text) == plain).all()
+    assert langid.cell_counts("").sum() == langid.cell_counts("1 2 3").sum() == 0 and langid.cell_counts("a").sum() == 1
+
+
+def test_repeated_rows_and_ties(spark, docs_of):
+    one = [(k, "alpha beta gamma delta", lang) for k, lang in ((1, "b"), (2, "a"))]
+    docs = spark.createDataFrame(one, "doc_id long, text string, lang string")
+    model = langid.learn(docs, F.lit(True))
+    out = langid.predict(docs.union(docs.filter("doc_id = 2")), model).collect()
+    assert len(out) == 3 and {r["lang_pred"] for r in out} == {"a"}
