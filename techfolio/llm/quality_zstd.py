@@ -80,10 +80,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, *, ridge: float = 1e-2, steps: in
     return w
 
 
-def _dictionary(texts: list[str], size: int) -> bytes | None:
+def spread_blocks(text: str, count: int) -> list[bytes]:
+    """At most ``count`` blocks of the text, evenly spaced from its first to its last; all of them if there are no more."""
+    data = text.encode("utf-8", "surrogatepass")
+    total = -(-len(data) // BLOCK)
+    places = range(total) if total <= count else np.unique(np.linspace(0, total - 1, count).round().astype(int)).tolist()
+    return [data[k * BLOCK : (k + 1) * BLOCK] for k in places]
+
+
+def _dictionary(blocks: list[bytes], size: int) -> bytes | None:
     """Trained dictionary of ``size`` bytes; too little text for the trainer is taken as a raw-content dictionary."""
-    parts = [data[k : k + BLOCK] for data in (t.encode("utf-8", "surrogatepass") for t in texts) for k in range(0, len(data), BLOCK)]
-    parts = [p for p in parts if len(p) >= 8]
+    parts = [p for p in blocks if len(p) >= 8]
     if not parts:
         return None
     try:
@@ -92,13 +99,13 @@ def _dictionary(texts: list[str], size: int) -> bytes | None:
         return b"".join(parts)[:size]
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, per_class: int = 2000, calibrate: int = 6000, max_bytes: int = 16384, dictionary_bytes: int = 65536) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, per_class: int = 2000, calibrate: int = 6000, blocks: int = 8, dictionary_bytes: int = 65536) -> Model:
     """Fit on labelled documents where ``usable`` (an expression over doc_id) holds.
 
-    Bounds of the fit, and of the fit alone: ``per_class`` texts for each dictionary, each of at most ``max_bytes``
-    bytes (longer ones are not taken), and ``calibrate`` other texts of any length for the calibration; those with the
-    smallest hash of their id. At most 4 x per_class x max_bytes bytes reach the driver, and three numbers for each text
-    of the calibration, which is compressed on the executors.
+    Bounds of the fit, and of the fit alone: ``per_class`` texts of any length for each dictionary, of each at most
+    ``blocks`` blocks spread over the whole text, and ``calibrate`` other texts of any length for the calibration; those
+    with the smallest hash of their id. At most 2 x per_class x blocks x BLOCK bytes reach the driver, cut on the
+    executors, and three numbers for each text of the calibration, which is compressed on the executors.
     """
     known = labelled(labels)
     if usable is not None:
@@ -108,13 +115,14 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, *, p
     base = rates.get(1, 0) / total if total else 0.5
     if len(rates) < 2:
         return Model(None, None, (), base)
-    ranked = common.hash_sample(known, "label", max(4 * per_class, calibrate))
-    # twice per_class (id, label) pairs; even ranks train, odd ranks calibrate, so no text does both
-    train = F.broadcast(ranked.filter(f"n % 2 = 0 AND n <= {4 * per_class}").select("doc_id", "label"))
-    rows = docs.join(train, "doc_id").filter(f"text IS NOT NULL AND octet_length(text) <= {max_bytes}")
+    ranked = common.hash_sample(known, "label", max(2 * per_class, calibrate))
+    # per_class (id, label) pairs; even ranks train, odd ranks calibrate, so no text does both
+    train = F.broadcast(ranked.filter(f"n % 2 = 0 AND n <= {2 * per_class}").select("doc_id", "label"))
     # one text for each id, however often the id is repeated
-    got = rows.groupBy("label", "doc_id").agg(F.min("text").alias("text")).toPandas().sort_values(["label", "doc_id"])
-    good, bad = (_dictionary(got.loc[got["label"] == k, "text"].head(per_class).tolist(), dictionary_bytes) for k in (1, 0))
+    texts = docs.join(train, "doc_id").filter("text IS NOT NULL").groupBy("label", "doc_id").agg(F.min("text").alias("text"))
+    got = common.map_rows(texts, lambda i, label, text: [(i, label, spread_blocks(text, blocks))], ["doc_id", "label", "text"], "doc_id long, label int, parts array<binary>")
+    got = got.toPandas().sort_values(["label", "doc_id"])
+    good, bad = (_dictionary([bytes(b) for parts in got.loc[got["label"] == k, "parts"] for b in parts], dictionary_bytes) for k in (1, 0))
     if good is None or bad is None:
         return Model(None, None, (), base)
     held = F.broadcast(ranked.filter(f"n % 2 = 1 AND n <= {calibrate}").select("doc_id", "label"))
