@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -66,6 +68,29 @@ def hash_sample(rows: DataFrame, by: str, per_value: int, key: str = "doc_id") -
     return hashed.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_value)
 
 
+def give_back() -> None:
+    """Return free memory of this process to the system. Spark keeps Python workers for later tasks, and what their
+    allocators hold on to is missing for others on the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library, which has no such call
+
+
+def returning_memory(run: Callable) -> Callable:
+    """``run`` (batches to batches), with the free memory given back at the end of the task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def map_rows(df: DataFrame, per_row: Callable, columns: list[str], schema: str, setup: Callable | None = None) -> DataFrame:
     """Apply ``per_row(*values) -> iterable of tuples`` to each row of ``df``, in Arrow batches inside the tasks.
 
@@ -88,7 +113,7 @@ def map_rows(df: DataFrame, per_row: Callable, columns: list[str], schema: str,
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, parsed)
+    return df.select(*columns).mapInArrow(returning_memory(run), parsed)
 
 
 def with_results(df: DataFrame, per_row: Callable, columns: list[str], schema: str, setup: Callable | None = None) -> DataFrame:
@@ -114,7 +139,7 @@ def with_results(df: DataFrame, per_row: Callable, columns: list[str], schema: s
                 rows = [next(iter(per_row(*first, *row))) for row in zip(*values, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)]], ["row", *arrow.names])
 
-    return whole.mapInArrow(run, out)
+    return whole.mapInArrow(returning_memory(run), out)
 
 
 def unpacked(df: DataFrame, names: list[str]) -> DataFrame:

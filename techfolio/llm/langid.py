@@ -92,7 +92,7 @@ def learn(docs: DataFrame, usable: Column, *, per_lang: int = 4000, smoothing: f
             cells = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], ["lang", "cell", "n"])
 
-    got = rows.select("lang", "text").mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.select("lang", "text").mapInArrow(common.returning_memory(count), "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     langs = tuple(sorted(got["lang"].unique()))
     weight = np.full((CELLS, len(langs)), smoothing)
     weight[got["cell"].to_numpy(int), got["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(int)] += got["n"].to_numpy(float)
@@ -124,7 +124,8 @@ def mixture(counts: np.ndarray, p: np.ndarray, *, overlap: float = 3.0) -> np.nd
     size = np.log(max(counts.sum() / overlap, 2.0))
     score = fit / overlap - 0.5 * size * len(kept)
     while len(kept) > 1:
-        fewer = np.delete(kept, np.argmin(share))
+        # of equal shares the language that sorts last goes
+        fewer = np.delete(kept, len(share) - 1 - np.argmin(share[::-1]))
         less, fit = proportions(counts, p[:, fewer]) if len(fewer) > 1 else (np.ones(1), float(counts @ np.log(p[:, fewer[0]])))
         now = fit / overlap - 0.5 * size * len(fewer)
         if now < score:
