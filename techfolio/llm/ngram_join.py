@@ -270,7 +270,7 @@ def _meetings(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
             pairs = np.unique(np.stack((columns["doc"][away], head[away]), 1), axis=0) if len(away) else np.empty((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["doc", "first"])
 
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(emit, "key long, doc long, need int")
+    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(common.returning_memory(emit), "key long, doc long, need int")
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a document's rows of one class follow each other; they are held until the next ones begin
         last, keys = None, []
@@ -292,10 +292,10 @@ def _meetings(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), last[0]))], ["key", "doc"])
 
     # one shuffle brings equal segments together; the sorted partition is read as a stream, whatever a segment's size
-    met = rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(shared, "key long, doc long, need int")
+    met = rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(common.returning_memory(shared), "key long, doc long, need int")
     # a second one, of those that somebody shares, brings each document's together
-    left = met.repartition("doc").sortWithinPartitions("doc", "need").mapInArrow(enough, "key long, doc long")
-    return left.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(meet, "doc long, first long").distinct()
+    left = met.repartition("doc").sortWithinPartitions("doc", "need").mapInArrow(common.returning_memory(enough), "key long, doc long")
+    return left.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(common.returning_memory(meet), "doc long, first long").distinct()
 
 
 def _merged(groups: DataFrame, rounds: int = 3) -> DataFrame:
@@ -340,7 +340,7 @@ def _groups(members: DataFrame, num: int, den: int) -> DataFrame:
             yield close()
 
     dealt = members.repartition("first", "shard").sortWithinPartitions("first", "shard", "doc")
-    return dealt.select("first", "shard", "doc", "known", "items").mapInArrow(run, "a long, b long")
+    return dealt.select("first", "shard", "doc", "known", "items").mapInArrow(common.returning_memory(run), "a long, b long")
 
 
 def join(docs: DataFrame, *, size: int = 4, num: int = 85, den: int = 100, group_elements: int = 2_000_000) -> DataFrame:

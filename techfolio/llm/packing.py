@@ -412,4 +412,4 @@ def packed(pieces: DataFrame, *, capacity: int = CAPACITY, per_bucket: int = 500
             kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(common.returning_memory(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
