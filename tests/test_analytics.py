@@ -183,3 +183,17 @@ def test_calibration_equals_a_separate_fit(spark):
                 g1 += (q - t) * m[p]
                 g0 += q - t
         assert abs(g1) < 1e-6 and abs(g0) < 1e-6 and slope > 0
+
+
+def test_terms_are_counted_inside_their_text(spark):
+    rows = spark.createDataFrame([("1", "beta alpha beta alpha beta"), ("2", ""), ("3", None), ("4", "x"), ("5", "alpha")], "key string, text string")
+    cfg = ft.TextConfig(ngrams=(1, 2), stop_words=(), max_features=None)
+    counts = ft.term_counts(rows, cfg)
+    assert {(r.key, r.term): r.n for r in counts.collect()} == {
+        ("1", "alpha"): 2, ("1", "beta"): 3, ("1", "alpha beta"): 2, ("1", "beta alpha"): 2, ("5", "alpha"): 1}
+    assert {r.term: (r.tf, r.df) for r in ft.term_statistics(rows, cfg).collect()} == {"alpha": (3, 2), "beta": (3, 1), "alpha beta": (2, 1), "beta alpha": (2, 1)}
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(counts) == 0
+    # the statistics, the counts to their term, the weights back to their key
+    vocab = ft.vocabulary(ft.statistics_of(counts), 5, cfg).hint("merge")
+    assert exchanges(ft.tfidf_rows(counts, vocab)) <= 3
