@@ -596,9 +596,11 @@ def x1(t):
 SELECT award_id, 'never_assessed' AS side FROM (SELECT award_id FROM awards EXCEPT SELECT award_id FROM assessments)
 UNION ALL SELECT award_id, 'assessed' FROM (SELECT award_id FROM awards INTERSECT SELECT award_id FROM assessments)""")
 def x2(t):
-    a, s = t.awards.select("award_id"), t.assessments.select("award_id")
-    never = a.join(s, "award_id", "left_anti").withColumn("side", F.lit("never_assessed"))
-    return never.unionByName(a.join(s, "award_id", "left_semi").withColumn("side", F.lit("assessed")))
+    # one pass over both tables; their ids are combined before the shuffle and never sorted
+    ids = t.awards.select("award_id", F.lit(True).alias("awarded"), F.lit(False).alias("assessed"))
+    ids = ids.unionByName(t.assessments.select("award_id", F.lit(False).alias("awarded"), F.lit(True).alias("assessed")))
+    seen = ids.groupBy("award_id").agg(F.max("awarded").alias("awarded"), F.max("assessed").alias("assessed"))
+    return seen.where("awarded").select("award_id", F.when(F.col("assessed"), "assessed").otherwise("never_assessed").alias("side"))
 
 
 @query("x3_label_universe", ctes("reviewer", "predictions") + "SELECT label FROM reviewer UNION SELECT enhanced FROM predictions")

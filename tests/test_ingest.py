@@ -130,3 +130,12 @@ def test_synthetic_ids(spark):
     df = spark.createDataFrame([("", "F"), ("", "F"), (None, "G"), ("X", "F")], "award_id string, firm string").withColumn("n", F.monotonically_increasing_id())
     ids = sorted(r.award_id for r in ingest.dedup_first_synthetic(df, ["firm"], [F.col("n")]).collect())
     assert len(ids) == 3 and ids[-1] == "X" and all(i.startswith("SYNTH-") and len(i) == 22 for i in ids[:2])
+
+
+def test_difference_and_intersection_read_each_table_once(spark):
+    from techfolio.plans import all as _all  # noqa: F401
+    from techfolio.plans.registry import QUERIES
+
+    plan = QUERIES["x2_difference_and_intersection"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and "LeftAnti" not in plan and "LeftSemi" not in plan
+    assert sum(line.count("Relation [l_orderkey") for line in plan.splitlines()) == 1
