@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +198,40 @@ def test_terms_are_counted_inside_their_text(spark):
     # the statistics, the counts to their term, the weights back to their key
     vocab = ft.vocabulary(ft.statistics_of(counts), 5, cfg).hint("merge")
     assert exchanges(ft.tfidf_rows(counts, vocab)) <= 3
+
+
+def _written(spark, df):
+    """Records that the stages of a run write for shuffles."""
+    context, gateway = spark.sparkContext, spark.sparkContext._gateway
+    group = f"written-{id(df)}"
+    context.setJobGroup(group, group)
+    rows = df.collect()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    none = gateway.new_array(gateway.jvm.double, 0)
+    found = [store.stageData(s, False, gateway.jvm.java.util.ArrayList(), False, none) for s in stages]
+    return rows, sum(x.apply(i).shuffleWriteRecords() for x in found for i in range(x.size()))
+
+
+def test_only_the_longest_terms_of_a_text_travel(spark):
+    text = " ".join(f"w{i}" for i in range(1000))
+    rows, written = _written(spark, ft.term_statistics(spark.createDataFrame([("1", text), ("2", "")], "key string, text string"), ft.TextConfig(max_features=None)))
+    assert len(rows) == 2997 and all((r.tf, r.df) == (1, 1) for r in rows)
+    # one for each word, and each word once more
+    assert written <= 2000
+
+
+@pytest.mark.parametrize("ngrams", [(1, 1), (1, 2), (1, 3), (2, 3), (2, 2), (1, 4), (3, 4)])
+def test_term_statistics_equal_brute_force(spark, ngrams):
+    texts = ["a1 a1 a1 a1", "a1 a1b a1 a1b", "a1b", "", None, "a1 a1b", "b2 a1 a1b c3 a1 a1b", "_a a1 _a a1 _a", "é1 zz é1 zz é1 zz", "A1 A1B", "x small b2 a1"]
+    cfg = ft.TextConfig(ngrams=ngrams, stop_words=("small",), max_features=None)
+    tf, df = Counter(), Counter()
+    for text in texts:
+        words = [w for w in (text or "").lower().split() if w not in cfg.stop_words and len(w) > 1]
+        found = Counter(" ".join(words[i : i + n]) for n in range(ngrams[0], ngrams[1] + 1) for i in range(len(words) - n + 1))
+        tf.update(found)
+        df.update(found.keys())
+    rows = ft.term_statistics(spark.createDataFrame(list(enumerate(texts)), "key int, text string"), cfg).collect()
+    assert len(rows) == len(tf) and {r.term: (r.tf, r.df) for r in rows} == {t: (tf[t], df[t]) for t in tf}
