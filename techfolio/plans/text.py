@@ -404,10 +404,12 @@ def m11(t):
     n = F.col("key").cast("bigint")
     provided = F.when(n % 2 == 0, F.create_map(F.lit("french"), F.lit(0.5)))
     words = F.when(n % 3 == 0, F.array(F.lit("given")))
-    df = docs(t).select(
-        "key", F.explode_outer(relevance.parsed_scores(provided, F.col("text"), PROSE_AREAS)).alias("cet_id", "score"),
+    # both before the rows of a text's areas, so that its keywords are looked for once
+    found = docs(t).select(
+        "key", relevance.parsed_scores(provided, F.col("text"), PROSE_AREAS).alias("scores"),
         F.size(relevance.parsed_keywords(words, F.col("text"), _PROSE_KEYWORDS)).cast("bigint").alias("keywords"),
     )
+    df = found.select("key", F.explode_outer("scores").alias("cet_id", "score"), "keywords")
     return _rounded(df, "score")
 
 

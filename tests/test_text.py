@@ -153,3 +153,13 @@ def test_relevance_of_technical_texts(spark):
     assert got[0, "quantum_computing"] >= 0.8
     scaled = relevance.normalized(df, areas).groupBy("key").agg(F.sum("score").alias("s")).collect()
     assert all(r.s == pytest.approx(1.0) or r.s == 0.0 for r in scaled)
+
+
+def test_keywords_are_looked_for_once_a_text(spark):
+    """m11: not again for each area, above the operator that makes a row of every area."""
+    from techfolio.plans import all as _all  # noqa: F401
+    from techfolio.plans.registry import QUERIES
+
+    plan = QUERIES["m11_parsed_solicitations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate explode", 1)
+    assert "lambdafunction" not in above and "lambdafunction" in below
