@@ -137,8 +137,9 @@ def benchmark(awardee_metrics: DataFrame) -> DataFrame:
     )
 
 
-def risk(history: DataFrame, as_of: Column, awardees: DataFrame | None = None) -> DataFrame:
-    """Risk score with factors and advice. Awardees of ``awardees`` without history score 1.
+def risk(history: DataFrame, as_of: Column, awardees: DataFrame | None = None, keep_history: bool = False) -> DataFrame:
+    """Risk score with factors and advice. Awardees of ``awardees`` without history score 1. The others of the history are left
+    out, unless ``keep_history`` asks for them too; naming them in ``awardees`` would read the history twice.
 
     Two-level aggregation: per agency, then per awardee with the largest agency share.
     """
@@ -155,7 +156,8 @@ def risk(history: DataFrame, as_of: Column, awardees: DataFrame | None = None) -
         ratio(F.max(named), F.sum(named)).alias("top_share"),
     )
     if awardees is not None:
-        rows = awardees.select("uei").distinct().join(rows, "uei", "left")
+        named_rows = rows.where(F.col("uei").isNotNull())
+        rows = awardees.select("uei").distinct().join(named_rows, "uei", "full" if keep_history else "left")
     none = F.col("n").isNull()
     rate = ratio(F.col("terminated"), F.col("n"))
     checks = [

@@ -235,3 +235,24 @@ def test_term_statistics_equal_brute_force(spark, ngrams):
         df.update(found.keys())
     rows = ft.term_statistics(spark.createDataFrame(list(enumerate(texts)), "key int, text string"), cfg).collect()
     assert len(rows) == len(tf) and {r.term: (r.tf, r.df) for r in rows} == {t: (tf[t], df[t]) for t in tf}
+
+
+def test_risk_keeps_the_history_beside_the_named(spark, history):
+    rows = history.unionByName(history.limit(1).withColumn("uei", F.lit(None).cast("string")))
+    named = spark.createDataFrame([("U",), ("V",)], "uei string")
+    extra = spark.createDataFrame([("V",), ("V",)], "uei string")
+    at = F.lit(D(2025, 1, 1))
+    want = sorted(aw.risk(rows, at, named).collect())
+    assert sorted(aw.risk(rows, at, extra, keep_history=True).collect()) == want
+    assert [r.uei for r in aw.risk(rows, at, extra).collect()] == ["V"]
+
+
+def test_risk_reads_the_history_once_and_sorts_no_lines(spark):
+    from techfolio.plans import all as _all  # noqa: F401
+    from techfolio.plans.adapters import Tables
+    from techfolio.plans.registry import QUERIES
+
+    query = QUERIES["a13_risk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert query.optimizedPlan().toString().count("Relation [l_orderkey") == 1
+    plan = Tables(spark, "/root/testdata/sf0.001").history.select("uei", "funding_agency")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [l_orderkey" in plan and "ShuffledHashJoin [l_partkey" in plan and "SortMergeJoin" not in plan
