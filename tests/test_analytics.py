@@ -256,3 +256,17 @@ def test_risk_reads_the_history_once_and_sorts_no_lines(spark):
     assert query.optimizedPlan().toString().count("Relation [l_orderkey") == 1
     plan = Tables(spark, "/root/testdata/sf0.001").history.select("uei", "funding_agency")._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin [l_orderkey" in plan and "ShuffledHashJoin [l_partkey" in plan and "SortMergeJoin" not in plan
+
+
+def test_experiment_finds_its_training_rows_once(spark):
+    rows = [(f"k{i:03}", "ab"[i % 2], f"{'alpha beam' if i % 2 else 'gamma cell'} text{i % 5} report") for i in range(20)]
+    rows += [("k900", "a", "gamma cell report"), ("k900", "b", "alpha beam report, a longer one")]
+    df = spark.createDataFrame(rows, "key string, label string, baseline_text string").withColumn("enriched_text", F.concat("baseline_text", F.lit(" more")))
+    train, test = cf.ordered_split(df, "key", 10)
+    assert "Sort" not in train._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.key for r in train.collect()) == [f"k{i:03}" for i in range(10)] and test.count() == 12
+    small = cf.ModelConfig(text=ft.TextConfig(select=None), calibrate=False)
+    runs = cf.run_experiment(df, small, 10)
+    # a repeated key keeps one row each, with its own length
+    lengths = sorted((r.variant, r.text_length) for r in runs.where("key = 'k900'").collect())
+    assert lengths == [("baseline", 17), ("baseline", 31), ("enriched", 22), ("enriched", 36)]
