@@ -270,3 +270,21 @@ def test_experiment_finds_its_training_rows_once(spark):
     # a repeated key keeps one row each, with its own length
     lengths = sorted((r.variant, r.text_length) for r in runs.where("key = 'k900'").collect())
     assert lengths == [("baseline", 17), ("baseline", 31), ("enriched", 22), ("enriched", 36)]
+
+
+def test_weights_need_no_vocabulary_and_no_term_travels(spark):
+    rows = [("1", "beta alpha beta gamma", "x"), ("2", "alpha beta", "y"), ("2", "gamma delta alpha", "x"), ("2", "alpha beta", None), (None, "alpha beta gamma", "x"), (None, None, "y"),
+            ("3", "", "x"), ("4", "zeta", "y"), ("5", "Alpha ALPHA beta", "y"), ("5", "delta alpha", "y")]
+    texts = spark.createDataFrame(rows, "key string, text string, label string")
+    cfg = ft.TextConfig(ngrams=(1, 3), stop_words=(), max_features=None)
+    old = ft.tfidf_rows(ft.term_counts(texts, cfg), ft.vocabulary(ft.term_statistics(texts, cfg), len(rows), cfg))
+    plain = lambda df: sorted((str(r.key), r.term, round(r.weight, 9)) for r in df.collect())
+    got = ft.weighted_rows(texts, cfg, len(rows))
+    assert plain(got) == plain(old) and len(plain(got)) > 20
+    chi = lambda df: {r.term: round(r.chi2, 9) for r in df.collect()}
+    assert chi(ft.chi2_labelled(ft.weighted_rows(texts, cfg, len(rows), "label"), texts)) == chi(ft.chi2_rows(old, texts))
+    # the rows of a text and the answers of a task to it: no row travels for each of its terms but the question
+    many = spark.createDataFrame([(str(k), " ".join(f"w{i}" for i in range(300))) for k in range(4)], "key string, text string")
+    wide = ft.TextConfig(ngrams=(1, 1), stop_words=(), max_features=None, max_df=1.0)
+    rows, written = _written(spark, ft.weighted_rows(many, wide, 4))
+    assert len(rows) == 1200 and written <= 1200 + 4 + 4 * 4
