@@ -76,7 +76,7 @@ def m12(t):
 @query("m13_chi2_scores", _FEATURES + "SELECT term, round(chi2, 6) AS chi2 FROM chi")
 def m13(t):
     labels = t.texts.select("key", F.col("agency").alias("label"))
-    return ft.chi2_rows(ft.tfidf_rows(ft.term_counts(t.texts.select("key", "text"), LONG), _vocab(t)), labels).withColumn("chi2", F.round("chi2", 6))
+    return ft.chi2_labelled(_weights(t, "agency").withColumnRenamed("agency", "label"), labels).withColumn("chi2", F.round("chi2", 6))
 
 
 @query("m14_class_weights", "SELECT lang AS label, count(*) AS n, (SELECT count(*) FROM documents)::DOUBLE / (4 * count(*)) AS weight FROM documents GROUP BY 1")
