@@ -170,7 +170,7 @@ def m24(t):
 
 @query("m24_boosted_weights", _FEATURES + f"SELECT key, term, round(weight * {_BOOST}, 9) AS weight FROM tfidf")
 def m24w(t):
-    return ft.boosted_rows(ft.tfidf_rows(ft.term_counts(t.texts.select("key", "text"), LONG), _vocab(t)), ["th", "eaux"], ["er"]).withColumn("weight", F.round("weight", 9))
+    return ft.boosted_rows(_weights(t), ["th", "eaux"], ["er"]).withColumn("weight", F.round("weight", 9))
 
 
 @query("m23_enrichment_experiment")
