@@ -288,3 +288,24 @@ def test_weights_need_no_vocabulary_and_no_term_travels(spark):
     wide = ft.TextConfig(ngrams=(1, 1), stop_words=(), max_features=None, max_df=1.0)
     rows, written = _written(spark, ft.weighted_rows(many, wide, 4))
     assert len(rows) == 1200 and written <= 1200 + 4 + 4 * 4
+
+
+def test_few_terms_reach_the_driver_whatever_the_tasks(spark):
+    rows = [(f"t{i:05}", 1 + (i % 3 if i % 50 else 900 + i % 7), 2) for i in range(6000)]
+    stats = spark.createDataFrame(rows, "term string, tf bigint, df bigint").repartition(24)
+    for k in (1, 25, 121, 3000, 9000):
+        cfg = ft.TextConfig(max_features=k, max_df=1.0)
+        want = sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
+        assert ft.frequent_candidates(stats, k).count() <= 4 * k
+        assert sorted((r.term, r.tf, r.df) for r in ft.vocabulary(stats, 100, cfg).collect()) == sorted(want)
+    assert ft.vocabulary(stats.where("df > 2"), 100, cfg).count() == 0
+
+
+def test_the_points_of_past_steps_are_given_back(spark, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    gone, destroy = [], Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a, **b: (gone.append(1), destroy(self, *a, **b)))
+    rows = spark.createDataFrame([(f"k{i}", "alpha beam" if i % 2 else "gamma cell", "ab"[i % 2]) for i in range(12)], "key string, text string, label string")
+    model = cf.fit(rows, cf.ModelConfig(text=ft.TextConfig(select=None), calibrate=False))
+    assert len(gone) >= model.fits[0].steps > 0
