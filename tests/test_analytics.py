@@ -309,3 +309,19 @@ def test_the_points_of_past_steps_are_given_back(spark, monkeypatch):
     rows = spark.createDataFrame([(f"k{i}", "alpha beam" if i % 2 else "gamma cell", "ab"[i % 2]) for i in range(12)], "key string, text string, label string")
     model = cf.fit(rows, cf.ModelConfig(text=ft.TextConfig(select=None), calibrate=False))
     assert len(gone) >= model.fits[0].steps > 0
+
+
+def test_experiment_trains_on_the_whole_first_half(spark):
+    rows = [(f"k{i:03}", "ab"[i % 2], f"{'alpha beam' if i % 2 else 'gamma cell'} text{i % 5} report") for i in range(200)]
+    rows += [("k099", "a", "gamma cell report, the last of the half"), (None, "b", "alpha beam")]
+    df = spark.createDataFrame(rows, "key string, label string, baseline_text string").repartition(7).withColumn("enriched_text", F.concat("baseline_text", F.lit(" more")))
+    train, test = cf.ordered_split(df)
+    # both rows of k099 stay together, no row is lost
+    assert sorted(str(r.key) for r in train.collect()) == sorted(["None", "k099", *[f"k{i:03}" for i in range(100)]])
+    assert sorted(r.key for r in test.collect()) == [f"k{i:03}" for i in range(100, 200)]
+    for place in (1, 2, 50, 101, 202):
+        assert cf.value_at(df, "key", place).first()[0] == sorted([r[0] for r in rows], key=lambda x: x or "")[place - 1]
+    runs = cf.run_experiment(df, cf.ModelConfig(text=ft.TextConfig(select=None), calibrate=False))
+    assert {r.variant: r.n for r in runs.groupBy("variant").agg(F.count("*").alias("n")).collect()} == {"baseline": 100, "enriched": 100}
+    one = spark.createDataFrame(rows[:1], "key string, label string, baseline_text string")
+    assert [x.count() for x in cf.ordered_split(one)] == [0, 1]
